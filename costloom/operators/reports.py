@@ -104,12 +104,6 @@ def cost_by(lines: DataFrame, *columns: str) -> DataFrame:
     return lines.groupBy(*columns).agg(rates.exact_sum(F.col("total_cost_usd")).alias("total_cost_usd"))
 
 
-def as_map(costs: DataFrame, key: str, name: str) -> DataFrame:
-    """A cost breakdown as one map column, for reports with few keys such as regions."""
-    pairs = F.array_sort(F.collect_list(F.struct(key, "total_cost_usd")))
-    return costs.agg(F.map_from_entries(pairs).alias(name))
-
-
 def update_report(catalog: DataFrame, effective_date: date, total_records: int | Column | None = None) -> DataFrame:
     price = F.col("price_per_unit")
     report = (

@@ -38,7 +38,7 @@ def lay_out(df: DataFrame, table: str, many_days: bool = False) -> DataFrame:
 
 def append(df: DataFrame, path: str, table: str, many_days: bool = False, now: datetime | None = None) -> DataFrame:
     """Append the valid rows and return the rejected ones, with the names of their missing columns."""
-    valid, rejects = quality.split_valid(quality.apply_defaults(df, table, now or utc_now()), table)
+    valid, rejects = quality.split_valid(_declared(df, table, now), table)
     _write(lay_out(valid, table, many_days), path, table, "append")
     return rejects
 
@@ -86,8 +86,7 @@ def write_snapshot(catalog: DataFrame, path: str, number: int | None = None, now
         number = done[-1] + 1 if done else 0
     if number in done:
         raise ValueError(f"snapshot {number} is already complete")
-    rows = quality.apply_defaults(catalog, "catalog", now or utc_now())
-    valid, _ = quality.split_valid(rows, "catalog")
+    valid, _ = quality.split_valid(_declared(catalog, "catalog", now), "catalog")
     _write(lay_out(valid, "catalog", many_days=True), snapshot_path(path, number), "catalog", "overwrite")
     return number
 
@@ -109,6 +108,10 @@ def write_days(df: DataFrame, path: str, day: str) -> None:
     )
 
 
+def _declared(df: DataFrame, table: str, now: datetime | None) -> DataFrame:
+    return quality.apply_defaults(df, table, now or utc_now()).select(schemas.SCHEMAS[table].names)
+
+
 def _write(df: DataFrame, path: str, table: str, mode: str) -> None:
     day, _ = schemas.LAYOUT[table]
     df.write.mode(mode).partitionBy(day).parquet(path)

@@ -37,6 +37,7 @@ def start_refresh(
     checkpoint: str,
     as_of: Callable[[int], date] | None = None,
     files_per_trigger: int | None = None,
+    now: datetime | None = None,
 ) -> StreamingQuery:
     """Refresh the catalog from feed files as they arrive; stops when all waiting files are done.
 
@@ -45,7 +46,7 @@ def start_refresh(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         day = as_of(batch_id) if as_of else tables.utc_now().date()
-        refresh_batch(batch, batch_id, catalog_path, day)
+        refresh_batch(batch, batch_id, catalog_path, day, now)
 
     return (
         feed.stream_feed(spark, feed_path, files_per_trigger)
