@@ -61,7 +61,7 @@ def run_boq(
         raise NothingFound("no resource specifications match the filters")
     valid, rejects = quality.split_valid(chosen, "specs")
     lines = costing.boq_lines(valid, catalog, boq_id, now, requested_by)
-    tables.append(lines, results_path, "results", now=now)
+    tables.append_lines(lines, results_path, now=now)
     # Read the stored lines back, from one day's folder, instead of computing them again for each summary.
     stored = tables.read(specs.sparkSession, results_path, "results")
     mine = (F.col("calc_date") == F.to_date(F.lit(now))) & (F.col("boq_id") == boq_id)

@@ -43,6 +43,14 @@ def append(df: DataFrame, path: str, table: str, many_days: bool = False, now: d
     return rejects
 
 
+def append_lines(lines: DataFrame, path: str, many_days: bool = False, now: datetime | None = None) -> None:
+    """Append result lines of valid resources.
+
+    Such lines are complete by construction. Testing the computed costs for null would calculate them twice.
+    """
+    _write(lay_out(_declared(lines, "results", now), "results", many_days), path, "results", "append")
+
+
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read with the declared schema; filters on the date column prune whole folders."""
     day, _ = schemas.LAYOUT[table]

@@ -208,6 +208,8 @@ DISCOUNT = MICROS.format("total_discount_usd")
 NANOS_AVG = "cast(sum(cast(round(price_per_unit * 1e9) as bigint)) as double) / 1e9 / count(price_per_unit)"
 RECENT = "calc_date >= cast(date '2001-08-01' - interval 30 day as date)"
 
+MONTH = "cast(date_trunc('month', {0}) as date)"
+
 SPEC_COLUMNS = ", ".join(registry.SPEC_COLUMNS)
 LINE_COLUMNS = ", ".join(registry.LINE_COLUMNS)
 PRICES = ", ".join(registry.PRICES)
@@ -389,17 +391,18 @@ def oracle_sql() -> dict[str, str]:
             "group by calc_date order by calc_date desc"
         ),
         "results_append": lines(
-            f"select cast(calc_date as varchar) as date, count(distinct boq_id) as calculations, "
+            f"select cast({MONTH.format('calc_date')} as varchar) as date, count(distinct boq_id) as calculations, "
             f"count(*) as total_resources, {COST} as total_cost from lines "
-            "where calc_date >= cast(date '2001-08-01' - interval 365 day as date) group by calc_date"
+            f"where {MONTH.format('calc_date')} >= cast(date '2001-08-01' - interval 365 day as date) group by 1"
         ),
         "today_by_project": lines(
             f"select project_id, {COST} as total_cost, count(*) as resource_count from lines "
             "where calc_date = date '2001-08-01' group by project_id order by total_cost desc, project_id"
         ),
         "table_layout": parts(
-            "select region, count(*) as resources from specs "
-            "where cast(created_at as date) >= cast(date '2001-08-01' - interval 30 day as date) group by region"
+            f"select cast({MONTH.format('created_at')} as varchar) as created_date, region, count(*) as resources "
+            f"from specs where {MONTH.format('created_at')} >= cast(date '2001-08-01' - interval 365 day as date) "
+            "group by 1, 2"
         ),
         "catalog_page": catalog(
             _page(
@@ -462,7 +465,7 @@ def oracle_sql() -> dict[str, str]:
             "from lines group by all"
         ),
         "monthly_cost": lines(
-            "select cast(cast(date_trunc('month', calc_date) as date) as varchar) as month, project_id, "
+            f"select cast({MONTH.format('calc_date')} as varchar) as month, project_id, "
             f"count(*) as line_count, {COST} as total_cost_usd from lines group by 1, 2"
         ),
         "cost_anomaly": lines(

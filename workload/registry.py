@@ -490,18 +490,22 @@ def run_boq(spark, sf_dir):
 
 @query
 def results_append(spark, sf_dir):
-    path = scratch_path(spark, "results")
-    tables.append(lines(spark, sf_dir).drop("calc_date"), path, "results", many_days=True)
+    """All lines, calculated at the start of their month, stored by day and read back."""
+    path, month = scratch_path(spark, "results"), F.date_trunc("month", "created_at")
+    result = costing.boq_lines(specs(spark, sf_dir), catalog(spark, sf_dir), F.col("boq_id"), month, "tester")
+    tables.append_lines(result, path, many_days=True)
     stored = tables.read(spark, path, "results")
     return reports.cost_history(stored, AS_OF, 365).select(day("date"), "calculations", "total_resources", "total_cost")
 
 
 @query
 def table_layout(spark, sf_dir):
+    """All resources, created at the start of their month, stored by day and read back."""
     path = scratch_path(spark, "specs")
-    tables.append(specs(spark, sf_dir).drop("boq_id"), path, "specs", many_days=True, now=NOW)
-    recent = tables.read(spark, path, "specs").where(reports.since("created_date", AS_OF, K.HISTORY_DAYS))
-    return recent.groupBy("region").agg(F.count(F.lit(1)).alias("resources"))
+    rows = specs(spark, sf_dir).withColumn("created_at", F.date_trunc("month", "created_at"))
+    tables.append(rows, path, "specs", many_days=True, now=NOW)
+    recent = tables.read(spark, path, "specs").where(reports.since("created_date", AS_OF, 365))
+    return recent.groupBy(day("created_date"), "region").agg(F.count(F.lit(1)).alias("resources"))
 
 
 @query
