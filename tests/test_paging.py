@@ -1,0 +1,88 @@
+import random
+
+import pytest
+
+from costloom.operators import filters, paging
+from samples import catalog_of, price, spec, specs_of
+
+ORDER = [("day", "desc"), ("name", "asc"), ("id", "asc")]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = random.Random(5)
+    data = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"]), i) for i in range(237)]
+    frame = spark.createDataFrame(data, "day int, name string, id int").repartition(7)
+    expected = sorted(data, key=lambda r: (-(r[0] or -1), r[1] is not None, r[1] or "", r[2]))
+    return frame, expected
+
+
+def ids(frame):
+    return [row["id"] for row in frame.collect()]
+
+
+@pytest.mark.parametrize("top_rows", [paging.TOP_ROWS, 0])
+def test_pages_join_to_the_whole_list(rows, top_rows):
+    frame, expected = rows
+    got = [ids(paging.page(frame, ORDER, number, 50, top_rows)) for number in range(1, 7)]
+    assert [len(page) for page in got] == [50, 50, 50, 50, 37, 0]
+    assert sum(got, []) == [row[2] for row in expected]
+
+
+def test_pages_by_key_join_to_the_whole_list(rows):
+    frame, expected = rows
+    got, last = [], None
+    while True:
+        page = paging.page_after(frame, ORDER, last, 40).collect()
+        if not page:
+            break
+        got += [row["id"] for row in page]
+        last = page[-1].asDict()
+    assert got == [row[2] for row in expected]
+
+
+def test_page_facts(spark):
+    def facts(n, number):
+        return tuple(paging.page_info(spark.range(n), number, 50).first())
+
+    assert facts(101, 1) == (1, 3, True, False)
+    assert facts(101, 3) == (3, 3, False, True)
+    assert facts(100, 2) == (2, 2, False, True)
+    assert facts(0, 1) == (1, 0, False, False)
+
+
+def test_pages_start_at_one(spark):
+    for number, size in [(0, 50), (-1, 50), (1, 0)]:
+        with pytest.raises(ValueError):
+            paging.page(spark.range(3), [("id", "asc")], number, size)
+        with pytest.raises(ValueError):
+            paging.page_info(spark.range(3), number, size)
+
+
+def test_blank_filters_let_everything_through(spark):
+    specs = specs_of(
+        spark,
+        spec(resource_id="a", project_id="p1", region="x", pricing_model="spot"),
+        spec(resource_id="b", project_id="p2", region="x", pricing_model="on-demand"),
+        spec(resource_id="c", project_id="p2", region="y", pricing_model="spot"),
+    )
+
+    def names(**lists):
+        return [r["resource_id"] for r in filters.list_specs(specs, **lists).collect()]
+
+    assert names() == names(project_ids=[], regions=None) == ["a", "b", "c"]
+    assert names(project_ids=["p2"], pricing_models=["spot", "preemptible"]) == ["c"]
+    assert names(resource_ids=["a", "c", "zzz"]) == ["a", "c"]
+    assert filters.where_equal(specs, region="", project_id=None).count() == 3
+
+
+def test_a_region_filter_hides_global_catalog_rows(spark):
+    catalog = catalog_of(spark, price(sku_id="r", region="x"), price(sku_id="g"), price(sku_id="old", is_active=False))
+    assert {r["sku_id"] for r in filters.filter_catalog(catalog).collect()} == {"r", "g"}
+    assert {r["sku_id"] for r in filters.filter_catalog(catalog, region="x", service="").collect()} == {"r"}
+    assert filters.filter_catalog(catalog, category="gpu").isEmpty()
+
+
+def test_distinct_values_are_sorted_and_not_null(spark):
+    frame = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "region string")
+    assert [r[0] for r in filters.distinct_values(frame, "region").collect()] == ["a", "b"]

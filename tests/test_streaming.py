@@ -1,0 +1,140 @@
+import json
+from datetime import timedelta
+
+import pytest
+
+from costloom.operators import costing, requests
+from costloom.sources import tables
+from costloom.streaming import jobs as streams
+from samples import NOW, TODAY, catalog_of, price, seed_specs, spec, specs_of
+
+
+def write_feed(folder, name, *skus):
+    folder.mkdir(exist_ok=True)
+    records = [
+        {
+            "skuId": sku_id,
+            "description": "n1-standard-4 instance",
+            "pricingInfo": [{"pricingExpression": {"usageUnit": "h", "tieredRates": [{"unitPrice": {"units": units}}]}}],
+        }
+        for sku_id, units in skus
+    ]
+    (folder / name).write_text("\n".join(json.dumps(r) for r in records))
+
+
+def test_refresh_stream_and_replay(spark, tmp_path):
+    path, inbox, progress = str(tmp_path / "catalog"), tmp_path / "feed", str(tmp_path / "progress")
+    day = lambda batch_id: TODAY + timedelta(days=batch_id)
+
+    def drain():
+        streams.start_refresh(spark, str(inbox), path, progress, as_of=day, files_per_trigger=1).awaitTermination()
+
+    write_feed(inbox, "1.json", ("a", "1"), ("b", "2"))
+    drain()
+    write_feed(inbox, "2.json", ("a", "3"))
+    drain()
+    rows = {(r["sku_id"], r["price_per_unit"]): r["is_active"] for r in tables.read_snapshot(spark, path).collect()}
+    assert rows == {("a", 1.0): False, ("b", 2.0): False, ("a", 3.0): True}
+    assert tables.snapshots(spark, path) == [0, 1, 2]
+    # A batch that runs again finds its snapshot complete.
+    before = sorted(map(str, tables.read_snapshot(spark, path).collect()))
+    streams.refresh_batch(spark.read.schema("skuId string").json(str(inbox)), 1, path, day(1))
+    assert tables.snapshots(spark, path) == [0, 1, 2]
+    assert sorted(map(str, tables.read_snapshot(spark, path).collect())) == before
+
+
+REQUESTS = [
+    dict(boq_id="all", requested_by="x"),
+    dict(boq_id="empty lists", project_ids=[], regions=[]),
+    dict(boq_id="two projects", project_ids=["p1", "p2", "p1"]),
+    dict(boq_id="project and model", project_ids=["p1"], pricing_models=["spot"]),
+    dict(boq_id="regions", regions=["us-west1", "mars"]),
+    dict(boq_id="model", pricing_models=["spot", "on-demand"]),
+    dict(boq_id="ids", resource_ids=["r1", "r5", "nope"], regions=["us-west1", "us-central1"]),
+    dict(boq_id="nothing", project_ids=["p9"]),
+]
+
+
+def resources():
+    return [
+        spec(
+            resource_id=f"r{i}",
+            project_id=f"p{i % 3}",
+            region=["us-central1", "us-west1"][i % 2],
+            pricing_model=["on-demand", "spot", "cud-1-year"][i % 3 if i % 4 else 0],
+        )
+        for i in range(24)
+    ]
+
+
+def request_frame(spark):
+    from costloom import schemas
+
+    rows = [tuple({**r, "requested_at": NOW}.get(name) for name in schemas.REQUEST.names) for r in REQUESTS]
+    return spark.createDataFrame(rows, schemas.REQUEST)
+
+
+def expected_matches():
+    from costloom import schemas
+
+    wanted = set()
+    for request in REQUESTS:
+        for row in resources():
+            named = dict(zip(schemas.SPECS.names, row))
+            if all(not request.get(k) or named[c] in request[k] for k, c in requests.FILTERS.items()):
+                wanted.add((request["boq_id"], named["resource_id"]))
+    return wanted
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 0}])
+def test_requests_match_like_single_runs(spark, bounds):
+    specs = specs_of(spark, *resources())
+    matched = requests.match_requests(specs, request_frame(spark), **bounds).collect()
+    got = [(r["boq_id"], r["resource_id"]) for r in matched]
+    assert len(got) == len(set(got)) and set(got) == expected_matches()
+
+
+def test_request_lines_equal_a_single_run(spark):
+    specs = specs_of(spark, *resources())
+    catalog = catalog_of(spark, price(machine_family="n1", machine_type="n1-standard-4", price_per_unit=0.25))
+    lines = requests.boq_for_requests(specs, catalog, request_frame(spark)).where("boq_id = 'regions'")
+    single = costing.boq_lines(specs.where("region = 'us-west1'"), catalog, "regions", NOW)
+    assert sorted(map(str, lines.collect())) == sorted(map(str, single.collect()))
+
+
+def test_no_requests_give_no_lines(spark):
+    specs = specs_of(spark, *resources())
+    assert requests.boq_for_requests(specs, catalog_of(spark), request_frame(spark).limit(0)).isEmpty()
+
+
+def test_boq_stream_and_replay(spark, tmp_path):
+    inbox, path, progress = tmp_path / "requests", str(tmp_path / "results"), str(tmp_path / "progress")
+    inbox.mkdir()
+    stamp = "2024-05-06T07:08:09Z"
+
+    def drain():
+        streams.start_boq(
+            spark, str(inbox), lambda: seed_specs(spark), lambda: catalog_of(spark), path, progress
+        ).awaitTermination()
+
+    def counts():
+        return {r["boq_id"]: r["count"] for r in spark.read.parquet(path).groupBy("boq_id").count().collect()}
+
+    (inbox / "1.json").write_text(
+        json.dumps({"boq_id": "b1", "regions": ["us-west1"], "requested_at": stamp})
+        + "\n"
+        + json.dumps({"boq_id": "b2", "requested_at": stamp})
+    )
+    drain()
+    assert counts() == {"b1": 1, "b2": 21}
+    (inbox / "2.json").write_text(json.dumps({"boq_id": "b3", "pricing_models": ["spot"], "requested_at": stamp}))
+    drain()
+    assert counts() == {"b1": 1, "b2": 21, "b3": 2}
+    # Running the first batch again replaces its own lines.
+    batch = spark.read.schema("boq_id string").json(str(inbox / "1.json"))
+    from costloom.sources import feed
+
+    again = spark.read.schema(feed.schemas.REQUEST).json(str(inbox / "1.json"))
+    assert batch.count() == again.count() == 2
+    streams.boq_batch(again, 0, seed_specs(spark), catalog_of(spark), path)
+    assert counts() == {"b1": 1, "b2": 21, "b3": 2}
