@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
@@ -10,34 +11,46 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructField, Struc
 # A lookup table is broadcast only when it is measured to be within both bounds.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
-# Beyond the bounds, every key of the large side is spread over this many slices.
-SLICES = 32
+# Beyond them the table is repeated per slice, up to about this many rows in all.
+SLICED_ROWS = 1_000_000_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a table (one pass with partial aggregation). Pass a settled table, or it is computed twice."""
+class Size(NamedTuple):
+    rows: int
+    bytes: int
+
+    def fits(self, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+        return self.rows <= max_rows and self.bytes <= max_bytes
+
+
+def measure(df: DataFrame) -> Size:
+    """Rows and text bytes, in one pass with partial aggregation. A table not settled is computed twice."""
     width = sum((_text_bytes(f) for f in df.schema), F.lit(16 * len(df.columns)))
     rows, size = df.agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
-    return rows <= max_rows and (size or 0) <= max_bytes
+    return Size(rows, size or 0)
 
 
 def lookup(
     df: DataFrame,
     table: DataFrame,
     on: Sequence[str],
-    broadcast: bool,
     how: str = "left",
     spread_by: Sequence[str] | None = None,
+    **bounds: int,
 ) -> DataFrame:
-    """Join ``df`` with a table that holds few rows per key.
+    """Join ``df`` with a settled table that holds few rows per key.
 
-    The broadcast form never shuffles ``df``. The other form shuffles it once, with each key cut into slices and
-    the table repeated per slice, so a key that holds a third of all rows is spread over many tasks.
+    A small table is broadcast and ``df`` is not shuffled. A large one is joined by one shuffle in which each key of
+    ``df`` is cut into slices and the table is repeated per slice, so that a key that holds a third of all rows is
+    spread over as many tasks as the shuffle has; adaptive execution can split what is still uneven.
     """
-    if broadcast:
+    size = measure(table)
+    if size.fits(**bounds):
         return df.join(F.broadcast(table), list(on), how)
-    slice_of = F.pmod(F.xxhash64(*(spread_by or df.columns)), F.lit(SLICES)).cast("int")
-    sliced = table.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, min(partitions, SLICED_ROWS // max(size.rows, 1)))
+    slice_of = F.pmod(F.xxhash64(*(spread_by or df.columns)), F.lit(slices)).cast("int")
+    sliced = table.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return df.withColumn("_slice", slice_of).join(sliced, [*on, "_slice"], how).drop("_slice")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,31 +32,34 @@ def page(df: DataFrame, order: Order, number: int, size: int, top_rows: int = TO
 
 
 def _deep_page(df: DataFrame, order: Order, offset: int, size: int) -> DataFrame:
-    """Sort once across tasks, count the rows of each sorted part, and read only the parts the page lies in."""
-    parts = settle(
-        df.orderBy(*_sort(order)).withColumns(
-            {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}
-        )
+    """Sort only the keys, across tasks, find the keys at both ends of the page, and read the rows between them."""
+    names = [name for name, _ in order]
+    keys = settle(
+        df.select(names)
+        .orderBy(*_sort(order))
+        .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
     )
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("low")).collect()
-    wanted, before = F.lit(False), 0
+    counts = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("low")).collect()
+    rows, before = [], 0
     for part in sorted(counts, key=lambda row: row["_part"]):
         first, last = max(offset - before, 0), min(offset + size - before, part["n"])
         if first < last:
-            rows = F.col("_row").between(part["low"] + first, part["low"] + last - 1)
-            wanted = wanted | rows
+            rows += [part["low"] + first, part["low"] + last - 1]
         before += part["n"]
-    return parts.where(wanted).drop("_part", "_row").orderBy(*_sort(order))
+    if not rows:
+        return df.limit(0)
+    ends = {row["_row"]: row for row in keys.where(F.col("_row").isin(rows[0], rows[-1])).collect()}
+    first, last = ends[rows[0]], ends[rows[-1]]
+    # Rows with the very same key as the page's first row, but on the page before.
+    tied = keys.where((F.col("_row") < rows[0]) & _at_or_beyond(order, first)).count()
+    between = _at_or_beyond(order, first) & ~_beyond(order, last)
+    return df.where(between).orderBy(*_sort(order)).offset(tied).limit(size)
 
 
-def page_after(df: DataFrame, order: Order, last: dict[str, object] | None, size: int) -> DataFrame:
+def page_after(df: DataFrame, order: Order, last: Mapping[str, object] | None, size: int) -> DataFrame:
     """The ``size`` rows after a known row: any depth at the cost of the first page."""
     if last is not None:
-        beyond, tied = F.lit(False), F.lit(True)
-        for name, direction in order:
-            step, same = _step(F.col(name), last[name], direction)
-            beyond, tied = beyond | (tied & step), tied & same
-        df = df.where(beyond)
+        df = df.where(_beyond(order, last))
     return df.orderBy(*_sort(order)).limit(size)
 
 
@@ -77,6 +80,22 @@ def _sort(order: Order) -> list[Column]:
     return [F.desc(name) if direction == "desc" else F.asc(name) for name, direction in order]
 
 
+def _beyond(order: Order, row: Mapping[str, object]) -> Column:
+    """The row sorts after the given one."""
+    beyond, tied = F.lit(False), F.lit(True)
+    for name, direction in order:
+        step, same = _step(F.col(name), row[name], direction)
+        beyond, tied = beyond | (tied & step), tied & same
+    return beyond
+
+
+def _at_or_beyond(order: Order, row: Mapping[str, object]) -> Column:
+    same = F.lit(True)
+    for name, _ in order:
+        same = same & F.col(name).eqNullSafe(F.lit(row[name]))
+    return same | _beyond(order, row)
+
+
 def _step(column: Column, value: object, direction: str) -> tuple[Column, Column]:
     """(row sorts after the value, row ties with it); nulls come first ascending and last descending."""
     if value is None:

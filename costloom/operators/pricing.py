@@ -60,7 +60,7 @@ def price_all(specs: DataFrame, catalog: DataFrame, **bounds: int) -> DataFrame:
             "_gpu": F.when(F.col("gpu_count") > 0, F.col("gpu_type")),
         }
     )
-    if joins.fits_broadcast(book, **bounds):
+    if joins.measure(book).fits(**bounds):
         found = _by_broadcast(keyed, book)
     else:
         found = _by_combination(keyed, book, **bounds)
@@ -76,29 +76,36 @@ def price_all(specs: DataFrame, catalog: DataFrame, **bounds: int) -> DataFrame:
     ).drop("_usage", "_family", "_gpu", "_compute", "_storage", "_gpu_price")
 
 
-def _by_broadcast(keyed: DataFrame, book: DataFrame) -> DataFrame:
-    """Four broadcast probes; the resources are not shuffled."""
-
-    def add(df: DataFrame, kind: str, name: str, keys: dict[str, str]) -> DataFrame:
-        # All regions of an item in one row, so that one probe answers both regional and global.
-        by_region = F.collect_list(F.when(F.col("region").isNotNull(), F.struct("region", "price")))
-        items = (
-            book.where(F.col("kind") == kind)
-            .groupBy("usage_type", "item")
-            .agg(
-                F.map_from_entries(by_region).alias("_regional"),
-                F.max(F.when(F.col("region").isNull(), F.col("price"))).alias("_global"),
-            )
-            .select([F.col(source).alias(target) for target, source in keys.items()] + ["_regional", "_global"])
-        )
-        hit = F.coalesce(F.try_element_at("_regional", F.col("region")), F.col("_global"))
-        return joins.lookup(df, items, list(keys), broadcast=True).withColumn(name, hit).drop("_regional", "_global")
+def _probe(df: DataFrame, book: DataFrame, kind: str, keys: dict[str, str], name: str, hint: bool) -> DataFrame:
+    """Add the regional, else the global, price of one kind; ``keys`` maps columns of ``df`` to columns of the book."""
+    rows = book.where(F.col("kind") == kind).select(
+        *[F.col(source).alias(target) for target, source in keys.items()], "region", "price"
+    )
+    regional = rows.where("region is not null").withColumnRenamed("price", "_regional")
+    everywhere = rows.where("region is null").drop("region").withColumnRenamed("price", "_global")
+    if hint:
+        regional, everywhere = F.broadcast(regional), F.broadcast(everywhere)
+    found = df.join(regional, [*keys, "region"], "left").join(everywhere, list(keys), "left")
+    return found.withColumn(name, F.coalesce("_regional", "_global")).drop("_regional", "_global")
+
+
+def _probe_compute(df: DataFrame, book: DataFrame, hint: bool) -> DataFrame:
+    found = _probe(df, book, "machine", {"_usage": "usage_type", "machine_type": "item"}, "_exact", hint)
+    found = _probe(found, book, "family", {"_usage": "usage_type", "_family": "item"}, "_of_family", hint)
+    return found.withColumn("_compute", F.coalesce("_exact", "_of_family")).drop("_exact", "_of_family")
+
+
+def _probe_storage(df: DataFrame, book: DataFrame, hint: bool) -> DataFrame:
+    return _probe(df, book, "disk", {"disk_type": "item"}, "_storage", hint)
 
-    found = add(keyed, "machine", "_exact", {"_usage": "usage_type", "machine_type": "item"})
-    found = add(found, "family", "_of_family", {"_usage": "usage_type", "_family": "item"})
-    found = found.withColumn("_compute", F.coalesce("_exact", "_of_family")).drop("_exact", "_of_family")
-    found = add(found, "disk", "_storage", {"disk_type": "item"})
-    return add(found, "gpu", "_gpu_price", {"_gpu": "item"})
+
+def _probe_gpu(df: DataFrame, book: DataFrame, hint: bool) -> DataFrame:
+    return _probe(df, book, "gpu", {"_gpu": "item"}, "_gpu_price", hint)
+
+
+def _by_broadcast(keyed: DataFrame, book: DataFrame) -> DataFrame:
+    """Hash probes of parts of a book measured to be small; the resources are not shuffled."""
+    return _probe_gpu(_probe_storage(_probe_compute(keyed, book, True), book, True), book, True)
 
 
 def _by_combination(keyed: DataFrame, book: DataFrame, **bounds: int) -> DataFrame:
@@ -107,28 +114,11 @@ def _by_combination(keyed: DataFrame, book: DataFrame, **bounds: int) -> DataFra
     Distinct combinations are found with map-side aggregation, so hot combinations cost nothing extra.
     """
 
-    def add(df: DataFrame, name: str, by: list[str], probes: list[tuple[str, list[str]]]) -> DataFrame:
-        sheet = df.select(*by, "region").distinct()
-        hits = []
-        for kind, keys in probes:
-            names = ["usage_type", "item"][-len(keys) :]
-            rows = book.where(F.col("kind") == kind).select(
-                *[F.col(n).alias(k) for n, k in zip(names, keys)], "region", "price"
-            )
-            local, everywhere = f"_{kind}_regional", f"_{kind}_global"
-            regional = rows.where("region is not null").withColumnRenamed("price", local)
-            global_ = rows.where("region is null").drop("region").withColumnRenamed("price", everywhere)
-            sheet = sheet.join(regional, [*keys, "region"], "left").join(global_, keys, "left")
-            hits += [local, everywhere]
-        priced = settle(sheet.select(*by, "region", F.coalesce(*hits).alias(name)).where(F.col(name).isNotNull()))
-        small = joins.fits_broadcast(priced, **bounds)
-        return joins.lookup(df, priced, [*by, "region"], broadcast=small, spread_by=["project_id", "resource_id"])
-
-    found = add(
-        keyed,
-        "_compute",
-        ["_usage", "machine_type", "_family"],
-        [("machine", ["_usage", "machine_type"]), ("family", ["_usage", "_family"])],
-    )
-    found = add(found, "_storage", ["disk_type"], [("disk", ["disk_type"])])
-    return add(found, "_gpu_price", ["_gpu"], [("gpu", ["_gpu"])])
+    def add(df: DataFrame, probe, by: list[str], name: str) -> DataFrame:
+        sheet = probe(df.select(*by, "region").distinct(), book, False)
+        priced = settle(sheet.select(*by, "region", name).where(F.col(name).isNotNull()))
+        return joins.lookup(df, priced, [*by, "region"], spread_by=["project_id", "resource_id"], **bounds)
+
+    found = add(keyed, _probe_compute, ["_usage", "machine_type", "_family"], "_compute")
+    found = add(found, _probe_storage, ["disk_type"], "_storage")
+    return add(found, _probe_gpu, ["_gpu"], "_gpu_price")

@@ -197,8 +197,7 @@ def cost_anomalies(lines: DataFrame, sigmas: float = 3.0, **bounds: int) -> Data
         .where("n > 1")
         .select("project_id", ((total / n + F.lit(sigmas) * F.sqrt(variance)) / rates.MICROS).alias("cost_limit"))
     )
-    small = joins.fits_broadcast(limits, **bounds)
-    flagged = joins.lookup(lines, limits, ["project_id"], broadcast=small, how="inner", spread_by=["resource_id"])
+    flagged = joins.lookup(lines, limits, ["project_id"], "inner", spread_by=["resource_id"], **bounds)
     return flagged.where(F.col("total_cost_usd") > F.col("cost_limit"))
 
 

@@ -53,9 +53,8 @@ def match_requests(specs: DataFrame, requests: DataFrame, **bounds: int) -> Data
     ]
     own = [name for name in specs.columns if name not in ("boq_id", "requested_by", "requested_at")]
     keyed = specs.select(*own, F.inline(F.array(*keys)))
-    small = joins.fits_broadcast(wanted, **bounds)
     matched = joins.lookup(
-        keyed, wanted, ["_dimension", "_value"], broadcast=small, how="inner", spread_by=["project_id", "resource_id"]
+        keyed, wanted, ["_dimension", "_value"], "inner", spread_by=["project_id", "resource_id"], **bounds
     )
     for name, column in FILTERS.items():
         matched = matched.where(~_given(f"_{name}") | F.array_contains(f"_{name}", F.col(column)))

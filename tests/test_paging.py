@@ -86,3 +86,10 @@ def test_a_region_filter_hides_global_catalog_rows(spark):
 def test_distinct_values_are_sorted_and_not_null(spark):
     frame = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "region string")
     assert [r[0] for r in filters.distinct_values(frame, "region").collect()] == ["a", "b"]
+
+
+def test_deep_pages_of_an_order_with_ties_have_the_right_rows(rows):
+    frame, expected = rows
+    order = [("day", "desc")]
+    got = [[r["day"] for r in paging.page(frame, order, n, 50, top_rows=0).collect()] for n in range(1, 6)]
+    assert sum(got, []) == [r[0] for r in expected]

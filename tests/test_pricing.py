@@ -106,7 +106,7 @@ def test_against_brute_force(spark, monkeypatch, route, seed, size):
     if bounds == "book only":
         # The book is taken as too large, the priced combinations as small enough.
         answers = iter([False, True, True, True])
-        monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: next(answers))
+        monkeypatch.setattr(joins.Size, "fits", lambda *a, **k: next(answers))
         bounds = {}
     specs = specs_of(spark, *[spec(**r) for r in resources])
     priced = pricing.price_all(specs, catalog_of(spark, *[price(**r) for r in rows]), **bounds)
@@ -167,18 +167,18 @@ def test_gpu_needs_a_count(spark):
 
 def test_size_check(spark):
     table = spark.range(10).selectExpr("id", "repeat('x', 100) as text", "array(repeat('y', 1000)) as list")
-    assert joins.fits_broadcast(table)
-    assert not joins.fits_broadcast(table, max_rows=9)
-    assert not joins.fits_broadcast(table, max_bytes=5000)
-    assert joins.fits_broadcast(table.limit(0))
+    size = joins.measure(table)
+    assert size.rows == 10 and 11_000 < size.bytes < 13_000
+    assert size.fits() and not size.fits(max_rows=9) and not size.fits(max_bytes=5000)
+    assert joins.measure(table.limit(0)) == (0, 0)
 
 
 def test_sliced_lookup_spreads_a_hot_key(spark):
     rows = spark.range(2000).selectExpr("'hot' as k", "id")
     table = spark.createDataFrame([("hot", 7), ("cold", 8)], "k string, v int")
-    joined = joins.lookup(rows, table, ["k"], broadcast=False, spread_by=["id"])
+    joined = joins.lookup(rows, table, ["k"], spread_by=["id"], max_rows=0)
     assert joined.where("v = 7").count() == 2000 and joined.columns == ["k", "id", "v"]
-    missing = joins.lookup(rows, table.where("k = 'cold'"), ["k"], broadcast=False, spread_by=["id"])
+    missing = joins.lookup(rows, table.where("k = 'cold'"), ["k"], spread_by=["id"], max_rows=0)
     assert missing.where("v is null").count() == 2000
 
 
