@@ -6,7 +6,9 @@ item and region. Resources then look their prices up by equality, so no rows mul
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from costloom import constants as K
 from costloom.functions import rates
@@ -16,6 +18,19 @@ from costloom.session import settle
 # One item of a family prices the whole family; a disk or GPU price does not depend on the usage type.
 ANY_USAGE = ""
 
+KINDS = ("compute", "storage", "gpu")
+PRICE_COLUMNS = {
+    "compute": "compute_price_per_hour",
+    "storage": "storage_price_per_gb_month",
+    "gpu": "gpu_price_per_hour",
+}
+# The columns that decide a price, beside the region, and the column it is found in.
+COMBINATIONS = {
+    "compute": (["_usage", "machine_type", "_family"], "_compute"),
+    "storage": (["disk_type"], "_storage"),
+    "gpu": (["_gpu"], "_gpu_price"),
+}
+
 
 def price_book(catalog: DataFrame) -> DataFrame:
     """(kind, usage_type, item, region, price), one row per key; a null region is the global price.
@@ -24,8 +39,7 @@ def price_book(catalog: DataFrame) -> DataFrame:
     """
     category = F.col("category")
 
-    def entry(kind: str, wanted: str, usage, item: str):
-        usage = usage if usage is not None else F.lit(ANY_USAGE)
+    def entry(kind: str, wanted: str, usage: Column, item: str) -> Column:
         row = F.struct(F.lit(kind).alias("kind"), usage.alias("usage_type"), F.col(item).alias("item"))
         return F.when((category == wanted) & F.col(item).isNotNull(), row)
 
@@ -33,8 +47,8 @@ def price_book(catalog: DataFrame) -> DataFrame:
         F.array(
             entry("machine", "compute", F.col("usage_type"), "machine_type"),
             entry("family", "compute", F.col("usage_type"), "machine_family"),
-            entry("disk", "storage", None, "disk_type"),
-            entry("gpu", "gpu", None, "gpu_type"),
+            entry("disk", "storage", F.lit(ANY_USAGE), "disk_type"),
+            entry("gpu", "gpu", F.lit(ANY_USAGE), "gpu_type"),
         )
     )
     rank = F.struct(-F.unix_date("effective_date"), "sku_id", "price_per_unit")
@@ -46,34 +60,30 @@ def price_book(catalog: DataFrame) -> DataFrame:
     )
 
 
-def price_all(specs: DataFrame, catalog: DataFrame, **bounds: int) -> DataFrame:
-    """Add the compute, storage and GPU price of each resource.
+def price_all(specs: DataFrame, catalog: DataFrame, kinds: Sequence[str] = KINDS, **bounds: int) -> DataFrame:
+    """Add the compute, storage and GPU price of each resource, or only the given kinds.
 
     Exact machine type before family, and regional before global; without a hit, compute and storage fall back to
     estimated rates and a GPU costs nothing.
     """
     book = settle(price_book(catalog))
-    keyed = specs.withColumns(
+    found = specs.withColumns(
         {
             "_usage": rates.usage_type_of(F.col("pricing_model")),
             "_family": rates.family_of(F.col("machine_type")),
             "_gpu": F.when(F.col("gpu_count") > 0, F.col("gpu_type")),
         }
     )
-    if joins.measure(book).fits(**bounds):
-        found = _by_broadcast(keyed, book)
-    else:
-        found = _by_combination(keyed, book, **bounds)
-    return found.withColumns(
-        {
-            "compute_price_per_hour": F.coalesce(
-                "_compute", rates.estimated_compute_rate(F.col("vcpu_count"), F.col("memory_gb"))
-            ),
-            "memory_price_per_gb_hour": F.lit(0.0),
-            "storage_price_per_gb_month": F.coalesce("_storage", rates.default_disk_rate(F.col("disk_type"))),
-            "gpu_price_per_hour": F.coalesce("_gpu_price", F.lit(0.0)),
-        }
-    ).drop("_usage", "_family", "_gpu", "_compute", "_storage", "_gpu_price")
+    small = joins.measure(book).fits(**bounds)
+    for kind in kinds:
+        found = _by_broadcast(found, book, kind) if small else _by_combination(found, book, kind, **bounds)
+    prices = {
+        "compute": F.coalesce("_compute", rates.estimated_compute_rate(F.col("vcpu_count"), F.col("memory_gb"))),
+        "storage": F.coalesce("_storage", rates.default_disk_rate(F.col("disk_type"))),
+        "gpu": F.coalesce("_gpu_price", F.lit(0.0)),
+    }
+    added = {PRICE_COLUMNS[kind]: prices[kind] for kind in kinds} | {"memory_price_per_gb_hour": F.lit(0.0)}
+    return found.withColumns(added).drop("_usage", "_family", "_gpu", "_compute", "_storage", "_gpu_price")
 
 
 def _probe(df: DataFrame, book: DataFrame, kind: str, keys: dict[str, str], name: str, hint: bool) -> DataFrame:
@@ -89,36 +99,27 @@ def _probe(df: DataFrame, book: DataFrame, kind: str, keys: dict[str, str], name
     return found.withColumn(name, F.coalesce("_regional", "_global")).drop("_regional", "_global")
 
 
-def _probe_compute(df: DataFrame, book: DataFrame, hint: bool) -> DataFrame:
+def _probe_kind(df: DataFrame, book: DataFrame, kind: str, hint: bool) -> DataFrame:
+    if kind == "storage":
+        return _probe(df, book, "disk", {"disk_type": "item"}, "_storage", hint)
+    if kind == "gpu":
+        return _probe(df, book, "gpu", {"_gpu": "item"}, "_gpu_price", hint)
     found = _probe(df, book, "machine", {"_usage": "usage_type", "machine_type": "item"}, "_exact", hint)
     found = _probe(found, book, "family", {"_usage": "usage_type", "_family": "item"}, "_of_family", hint)
     return found.withColumn("_compute", F.coalesce("_exact", "_of_family")).drop("_exact", "_of_family")
 
 
-def _probe_storage(df: DataFrame, book: DataFrame, hint: bool) -> DataFrame:
-    return _probe(df, book, "disk", {"disk_type": "item"}, "_storage", hint)
-
-
-def _probe_gpu(df: DataFrame, book: DataFrame, hint: bool) -> DataFrame:
-    return _probe(df, book, "gpu", {"_gpu": "item"}, "_gpu_price", hint)
-
-
-def _by_broadcast(keyed: DataFrame, book: DataFrame) -> DataFrame:
+def _by_broadcast(df: DataFrame, book: DataFrame, kind: str) -> DataFrame:
     """Hash probes of parts of a book measured to be small; the resources are not shuffled."""
-    return _probe_gpu(_probe_storage(_probe_compute(keyed, book, True), book, True), book, True)
+    return _probe_kind(df, book, kind, hint=True)
 
 
-def _by_combination(keyed: DataFrame, book: DataFrame, **bounds: int) -> DataFrame:
+def _by_combination(df: DataFrame, book: DataFrame, kind: str, **bounds: int) -> DataFrame:
     """For a book too large to broadcast: price each distinct combination once, then look that up.
 
     Distinct combinations are found with map-side aggregation, so hot combinations cost nothing extra.
     """
-
-    def add(df: DataFrame, probe, by: list[str], name: str) -> DataFrame:
-        sheet = probe(df.select(*by, "region").distinct(), book, False)
-        priced = settle(sheet.select(*by, "region", name).where(F.col(name).isNotNull()))
-        return joins.lookup(df, priced, [*by, "region"], spread_by=["project_id", "resource_id"], **bounds)
-
-    found = add(keyed, _probe_compute, ["_usage", "machine_type", "_family"], "_compute")
-    found = add(found, _probe_storage, ["disk_type"], "_storage")
-    return add(found, _probe_gpu, ["_gpu"], "_gpu_price")
+    by, name = COMBINATIONS[kind]
+    sheet = _probe_kind(df.select(*by, "region").distinct(), book, kind, hint=False)
+    priced = settle(sheet.select(*by, "region", name).where(F.col(name).isNotNull()))
+    return joins.lookup(df, priced, [*by, "region"], spread_by=["project_id", "resource_id"], **bounds)

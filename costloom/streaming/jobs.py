@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from costloom.operators.requests import boq_for_requests
@@ -58,8 +58,18 @@ def start_refresh(
 
 
 def boq_batch(batch: DataFrame, batch_id: int, specs: DataFrame, catalog: DataFrame, results_path: str) -> None:
-    """Calculate all requests of one micro-batch and replace the lines of this batch id."""
-    lines = tables.lay_out(boq_for_requests(specs, catalog, batch), "results", many_days=True)
+    """Calculate all requests of one micro-batch and replace the lines of this batch id.
+
+    A request without an id gets one that is the same when the batch runs again.
+    """
+    own_id = F.concat(F.lit(f"batch-{batch_id}-"), F.md5(F.to_json(F.struct("*"))))
+    named = batch.withColumns(
+        {
+            "boq_id": F.coalesce("boq_id", own_id),
+            "requested_at": F.coalesce("requested_at", F.lit(tables.utc_now())),
+        }
+    )
+    lines = tables.lay_out(boq_for_requests(specs, catalog, named), "results", many_days=True)
     lines.write.mode("overwrite").partitionBy("calc_date").parquet(f"{results_path}/stream_batch={batch_id}")
 
 

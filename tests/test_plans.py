@@ -66,6 +66,8 @@ def test_date_reports_prune_partitions(spark, tmp_path):
     ):
         text = plan(report)
         assert re.search(r"PartitionFilters: \[isnotnull\(calc_date#\d+\), \(calc_date#\d+ (>=|=) ", text), text
+    # The lines of a run share files, so a run's id skips other files by their value ranges.
+    assert re.search(r"PushedFilters: .*EqualTo\(boq_id,b\)", plan(stored.where("boq_id = 'b'")))
     assert "additional_storage_costs" not in re.search(r"ReadSchema: (.*)", plan(reports.cost_history(stored, TODAY)))[1]
 
 

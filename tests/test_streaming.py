@@ -2,7 +2,9 @@ import json
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from costloom import schemas
 from costloom.operators import costing, requests
 from costloom.sources import tables
 from costloom.streaming import jobs as streams
@@ -68,15 +70,11 @@ def resources():
 
 
 def request_frame(spark):
-    from costloom import schemas
-
     rows = [tuple({**r, "requested_at": NOW}.get(name) for name in schemas.REQUEST.names) for r in REQUESTS]
     return spark.createDataFrame(rows, schemas.REQUEST)
 
 
 def expected_matches():
-    from costloom import schemas
-
     wanted = set()
     for request in REQUESTS:
         for row in resources():
@@ -131,10 +129,24 @@ def test_boq_stream_and_replay(spark, tmp_path):
     drain()
     assert counts() == {"b1": 1, "b2": 21, "b3": 2}
     # Running the first batch again replaces its own lines.
-    batch = spark.read.schema("boq_id string").json(str(inbox / "1.json"))
-    from costloom.sources import feed
-
-    again = spark.read.schema(feed.schemas.REQUEST).json(str(inbox / "1.json"))
-    assert batch.count() == again.count() == 2
+    again = spark.read.schema(schemas.REQUEST).json(str(inbox / "1.json"))
     streams.boq_batch(again, 0, seed_specs(spark), catalog_of(spark), path)
     assert counts() == {"b1": 1, "b2": 21, "b3": 2}
+
+
+def test_a_request_without_id_keeps_its_own_id_on_replay(spark, tmp_path):
+    path = str(tmp_path / "results")
+    batch = spark.createDataFrame([(["p1"], None), (["p1"], "b")], "project_ids array<string>, boq_id string")
+    batch = filled(batch)
+    ids = []
+    for _ in range(2):
+        streams.boq_batch(batch, 7, seed_specs(spark), catalog_of(spark), path)
+        rows = spark.read.parquet(path).groupBy("boq_id").count().collect()
+        ids.append(sorted((r["boq_id"], r["count"]) for r in rows))
+    assert ids[0] == ids[1] and [n for _, n in ids[0]] == [21, 21]
+    assert ids[0][0][0] == "b" and ids[0][1][0].startswith("batch-7-")
+
+
+def filled(batch):
+    missing = [f for f in schemas.REQUEST if f.name not in batch.columns]
+    return batch.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})

@@ -213,19 +213,19 @@ def page_info(spark, sf_dir):
 
 @query
 def price_compute(spark, sf_dir):
-    priced = pricing.price_all(specs(spark, sf_dir), catalog(spark, sf_dir))
+    priced = pricing.price_all(specs(spark, sf_dir), catalog(spark, sf_dir), kinds=["compute"])
     return priced.select("resource_id", "compute_price_per_hour")
 
 
 @query
 def price_storage(spark, sf_dir):
-    priced = pricing.price_all(specs(spark, sf_dir), catalog(spark, sf_dir))
+    priced = pricing.price_all(specs(spark, sf_dir), catalog(spark, sf_dir), kinds=["storage"])
     return priced.select("resource_id", "storage_price_per_gb_month")
 
 
 @query
 def price_gpu(spark, sf_dir):
-    priced = pricing.price_all(specs(spark, sf_dir), catalog(spark, sf_dir))
+    priced = pricing.price_all(specs(spark, sf_dir), catalog(spark, sf_dir), kinds=["gpu"])
     return priced.select("resource_id", "gpu_price_per_hour")
 
 
