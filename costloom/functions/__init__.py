@@ -1,8 +1,18 @@
 """Column expressions. Everything here runs inside the JVM; there are no Python UDFs."""
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 
 def literal(value: object) -> Column:
     """A parameter that may be a constant or a column."""
     return value if isinstance(value, Column) else F.lit(value)
+
+
+def cases(pairs: Iterable[tuple[Column, object]], otherwise: object = None) -> Column:
+    """The value of the first condition that holds."""
+    chain = F
+    for condition, value in pairs:
+        chain = chain.when(condition, value)
+    return chain.otherwise(otherwise)

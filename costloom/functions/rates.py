@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from costloom import constants as K
+from costloom.functions import cases
 
 MICROS = 1e6
 NANOS = 1e9
@@ -27,18 +28,13 @@ def estimated_compute_rate(vcpu_count: Column, memory_gb: Column) -> Column:
 
 
 def default_disk_rate(disk_type: Column) -> Column:
-    rate = F
-    for name, price in K.DISK_GB_MONTH_RATES.items():
-        rate = rate.when(disk_type == name, price)
-    return rate.otherwise(K.OTHER_DISK_GB_MONTH_RATE)
+    known = ((disk_type == name, rate) for name, rate in K.DISK_GB_MONTH_RATES.items())
+    return cases(known, K.OTHER_DISK_GB_MONTH_RATE)
 
 
 def machine_class(machine_type: Column) -> Column:
     family = family_of(machine_type)
-    found = F
-    for name, families in K.MACHINE_CLASSES.items():
-        found = found.when(family.isin(families), name)
-    return found.otherwise("other")
+    return cases(((family.isin(families), name) for name, families in K.MACHINE_CLASSES.items()), "other")
 
 
 def zero(value: Column) -> Column:

@@ -12,6 +12,7 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 
 from costloom import constants as K
+from costloom.functions import cases
 
 PROFILES = ("daily", "adhoc")
 
@@ -114,17 +115,11 @@ def gpu_type(text: Column) -> Column:
 
 
 def commitment_term(text: Column) -> Column:
-    term = F
-    for name, spellings, _ in K.COMMITMENT_TERMS:
-        term = term.when(has_any(text, spellings), name)
-    return term
+    return cases((has_any(text, spellings), name) for name, spellings, _ in K.COMMITMENT_TERMS)
 
 
 def commitment_discount(term: Column) -> Column:
-    discount = F
-    for name, _, percent in K.COMMITMENT_TERMS:
-        discount = discount.when(term == name, percent)
-    return discount.otherwise(0.0)
+    return cases(((term == name, percent) for name, _, percent in K.COMMITMENT_TERMS), 0.0)
 
 
 def is_preemptible(text: Column) -> Column:
@@ -147,8 +142,8 @@ def network_tier(text: Column) -> Column:
 
 def category(text: Column, disk: Column, tier: Column | None) -> Column:
     """The last rule that applies wins: network over GPU over storage over compute."""
-    found = F if tier is None else F.when(tier.isNotNull(), "network")
-    return found.when(is_gpu(text), "gpu").when(disk.isNotNull(), "storage").otherwise("compute")
+    rules = [] if tier is None else [(tier.isNotNull(), "network")]
+    return cases([*rules, (is_gpu(text), "gpu"), (disk.isNotNull(), "storage")], "compute")
 
 
 def tags(text: Column, family: Column, disk: Column, gpu: Column, term: Column, tier: Column) -> Column:

@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costloom import constants as K, schemas
-from costloom.functions import literal, rates
+from costloom.functions import cases, literal, rates
 from costloom.operators.pricing import price_all
 
 SPEC_FIELDS = [
@@ -46,9 +46,7 @@ def add_discounts(costed: DataFrame) -> DataFrame:
     """At most one of the three discounts applies to a line; each is on compute plus GPU cost only."""
     model = F.col("pricing_model")
     is_spot = model.isin(K.SPOT_MODELS)
-    committed = F
-    for name, percent in K.COMMITTED_DISCOUNTS.items():
-        committed = committed.when(model == name, float(percent))
+    committed = cases(((model == name, float(percent)) for name, percent in K.COMMITTED_DISCOUNTS.items()), 0.0)
     steps = F.floor((F.col("usage_duration_hours") - K.SUSTAINED_AFTER_HOURS) / F.lit(K.SUSTAINED_STEP_HOURS))
     sustained = F.least(F.lit(K.SUSTAINED_MAX_DISCOUNT), steps * K.SUSTAINED_STEP_DISCOUNT).cast("double")
     earns_sustained = (
@@ -59,7 +57,7 @@ def add_discounts(costed: DataFrame) -> DataFrame:
     )
     percents = {
         "sustained_use_discount_percent": F.when(earns_sustained, sustained).otherwise(0.0),
-        "committed_use_discount_percent": committed.otherwise(0.0),
+        "committed_use_discount_percent": committed,
         "spot_discount_percent": F.when(is_spot, float(K.SPOT_DISCOUNT)).otherwise(0.0),
     }
     base = F.col("compute_cost_usd") + F.col("gpu_cost_usd")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from costloom import constants as K
+from costloom.functions import cases
 
 
 def deactivate(catalog: DataFrame, as_of: date, now: datetime) -> DataFrame:
@@ -35,8 +36,9 @@ def refresh(catalog: DataFrame, fetched: DataFrame, as_of: date, now: datetime)
 def backdate(specs: DataFrame, now: datetime, days: dict[str, int] | None = None) -> DataFrame:
     """Spread ``created_at`` over the days before ``now``, by a hash of the id instead of a random number."""
     hashed = F.conv(F.substring(F.md5("resource_id"), 1, 8), 16, 10).cast("bigint")
-    created = F
-    for suffix, most in (days or K.BACKDATE_DAYS).items():
-        moved = F.timestamp_add("DAY", -(hashed % (most + 1)).cast("int"), F.lit(now))
-        created = created.when(F.col("resource_id").endswith(suffix), moved)
-    return specs.withColumn("created_at", created.otherwise(F.col("created_at")))
+
+    def moved(most: int) -> Column:
+        return F.timestamp_add("DAY", -(hashed % (most + 1)).cast("int"), F.lit(now))
+
+    rules = [(F.col("resource_id").endswith(end), moved(most)) for end, most in (days or K.BACKDATE_DAYS).items()]
+    return specs.withColumn("created_at", cases(rules, F.col("created_at")))

@@ -14,7 +14,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costloom import constants as K
-from costloom.functions import rates
+from costloom.functions import cases, rates
 from costloom.operators import joins
 from costloom.session import settle
 
@@ -152,12 +152,11 @@ def today_by_project(lines: DataFrame, as_of: date) -> DataFrame:
 
 def budget_check(lines: DataFrame, budgets: dict[str, float] | None = None) -> DataFrame:
     """Cost per cost center against its budget; a center without a budget is never over it."""
-    limit = F
-    for name, threshold in (budgets or K.COST_CENTER_BUDGETS).items():
-        limit = limit.when(F.col("cost_center") == name, float(threshold))
+    known = (budgets or K.COST_CENTER_BUDGETS).items()
+    limit = cases((F.col("cost_center") == name, float(threshold)) for name, threshold in known)
     return (
         cost_by(lines, "cost_center")
-        .withColumn("budget_threshold", limit.otherwise(None))
+        .withColumn("budget_threshold", limit)
         .withColumn("over_budget", F.coalesce(F.col("total_cost_usd") > F.col("budget_threshold"), F.lit(False)))
     )
 

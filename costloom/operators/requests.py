@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from costloom.functions import cases
 from costloom.operators import joins
 from costloom.operators.costing import cost_lines
 from costloom.operators.pricing import price_all
@@ -25,13 +26,16 @@ def match_requests(specs: DataFrame, requests: DataFrame, **bounds: int) -> Data
     Each request is joined by equality on its most selective list; its other lists are checked on the matches. A
     request without any list selects every resource, through a key that all resources share.
     """
-    scope = F
-    for name, column in FILTERS.items():
-        values = F.array_distinct(F.array_compact(name))
-        scope = scope.when(_given(name), F.struct(F.lit(column).alias("dimension"), values.alias("values")))
-    everything = F.struct(F.lit(EVERYTHING).alias("dimension"), F.array(F.lit(EVERYTHING)).alias("values"))
+
+    def scope(dimension: str, values: Column) -> Column:
+        return F.struct(F.lit(dimension).alias("dimension"), values.alias("values"))
+
+    scopes = [
+        (_given(name), scope(column, F.array_distinct(F.array_compact(name)))) for name, column in FILTERS.items()
+    ]
+    everything = scope(EVERYTHING, F.array(F.lit(EVERYTHING)))
     wanted = settle(
-        requests.withColumn("scope", scope.otherwise(everything)).select(
+        requests.withColumn("scope", cases(scopes, everything)).select(
             "boq_id",
             "requested_by",
             "requested_at",

@@ -15,7 +15,7 @@ CHOSEN = [
     "spec_rejects", "spec_backdate", "resources_page", "resources_deep_page", "page_info", "price_all",
     "price_all_large_book", "boq_disks", "boq_lines", "boq_requests", "boq_discounts", "dashboard", "cost_history",
     "boq_summary_by_id", "update_report", "catalog_refresh", "catalog_page", "results_append", "cost_anomaly",
-    "daily_rollup", "budget_check", "stream_refresh",
+    "daily_rollup", "budget_check", "stream_refresh", "report_format",
 ]
 
 
@@ -33,10 +33,8 @@ def test_equal(spark, duck, sf_dir, name):
     assert check.compare(spark, duck, sf_dir, name) is None
 
 
-def test_every_query_has_sql_or_a_reason():
-    without = set(entry.queries()) - set(entry.oracle_sql())
-    assert without == {"report_format"}  # text forms follow browser rounding; see test_costing.test_display
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_every_query_has_sql():
+    assert set(entry.oracle_sql()) == set(entry.queries())
 
 
 def test_entry(spark):

@@ -2,8 +2,9 @@ import random
 
 import pytest
 
-from costloom.operators import filters, paging
-from samples import catalog_of, price, spec, specs_of
+from costloom.operators import costing, filters, paging
+from costloom.plans import listings
+from samples import NOW, catalog_of, price, spec, specs_of
 
 ORDER = [("day", "desc"), ("name", "asc"), ("id", "asc")]
 
@@ -93,3 +94,19 @@ def test_deep_pages_of_an_order_with_ties_have_the_right_rows(rows):
     order = [("day", "desc")]
     got = [[r["day"] for r in paging.page(frame, order, n, 50, top_rows=0).collect()] for n in range(1, 6)]
     assert sum(got, []) == [r[0] for r in expected]
+
+
+def test_listings(spark):
+    specs = specs_of(spark, *[spec(resource_id=f"r{i:03}", project_id=f"p{i % 2}") for i in range(120)])
+    listing = listings.resources(specs, project="p1", number=2)
+    assert [r["resource_id"] for r in listing.rows.collect()] == [f"r{i:03}" for i in range(101, 120, 2)]
+    assert tuple(listing.info.first()) == (2, 2, False, True)
+    assert [[r[0] for r in f.collect()] for f in listings.choices(specs)] == [["p0", "p1"], ["us-central1"]]
+    lines = costing.boq_lines(specs, catalog_of(spark), "b1", NOW)
+    one_run = listings.results(lines, boq_id="b1", project="ignored with a run id", number=3)
+    assert one_run.rows.count() == 20 and one_run.summary.first()["total_resources"] == 120
+    recent = listings.results(lines, project="p0")
+    assert recent.rows.count() == 50 and recent.summary is None and recent.info.first()["total_pages"] == 2
+    catalog = catalog_of(spark, price(sku_id="a", category="gpu"), price(sku_id="b"))
+    assert [r["sku_id"] for r in listings.prices(catalog).rows.collect()] == ["b", "a"]
+    assert listings.prices(catalog, category="gpu").info.first()["total_pages"] == 1

@@ -448,6 +448,16 @@ def oracle_sql() -> dict[str, str]:
             "select category, cast(effective_date as varchar) as effective_date from catalog union all "
             "select category, effective_date from adhoc) as stored group by category, effective_date"
         ),
+        "report_format": lines(
+            "select resource_id, "
+            "'$' || format('{:,.2f}', cast(round(cast(cast(total_cost_usd as varchar) as decimal(38, 18)), 2) "
+            "as double)) as currency, "
+            "printf('%.2f', case when total_cost_usd * 8 % 2 = 1 then total_cost_usd + 0.001e0 "
+            "else total_cost_usd end) as fixed, "
+            "strftime(created_at, '%-m/%-d/%Y') as date, "
+            "'{\"resource_id\":\"' || resource_id || '\",\"vcpu_count\":' || cast(vcpu_count as varchar) "
+            "|| ',\"usage_pattern\":' || coalesce('\"' || usage_pattern || '\"', 'null') || '}' as json from lines"
+        ),
         "budget_check": lines(
             "select *, coalesce(total_cost_usd > budget_threshold, false) as over_budget from ("
             f"select cost_center, {COST} as total_cost_usd, case cost_center "

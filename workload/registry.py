@@ -14,7 +14,7 @@ from costloom import constants as K, schemas
 from costloom.functions import display, rates
 from costloom.operators import catalog as catalogs
 from costloom.operators import costing, filters, maintenance, paging, pricing, quality, reports, requests
-from costloom.plans import jobs
+from costloom.plans import jobs, listings
 from costloom.session import scratch_path
 from costloom.sources import tables
 from costloom.streaming import jobs as streams
@@ -175,12 +175,12 @@ def spec_backdate(spark, sf_dir):
 
 @query
 def projects(spark, sf_dir):
-    return filters.distinct_values(specs(spark, sf_dir), "project_id")
+    return listings.choices(specs(spark, sf_dir))[0]
 
 
 @query
 def regions(spark, sf_dir):
-    return filters.distinct_values(specs(spark, sf_dir), "region")
+    return listings.choices(specs(spark, sf_dir))[1]
 
 
 @query
@@ -190,8 +190,7 @@ def resource_count(spark, sf_dir):
 
 @query
 def resources_page(spark, sf_dir):
-    rows = filters.where_equal(specs(spark, sf_dir), region="us-east1")
-    found = paging.page(rows, paging.SPEC_ORDER, 2, K.RESOURCE_PAGE_SIZE)
+    found = listings.resources(specs(spark, sf_dir), region="us-east1", number=2).rows
     return found.select(*SPEC_COLUMNS, time("created_at"))
 
 
@@ -205,7 +204,7 @@ def resources_deep_page(spark, sf_dir):
 
 @query
 def page_info(spark, sf_dir):
-    return paging.page_info(specs(spark, sf_dir), 2, K.RESOURCE_PAGE_SIZE)
+    return listings.resources(specs(spark, sf_dir), number=2).info
 
 
 # Price lookup.
@@ -303,8 +302,7 @@ def boq_lines_by_id(spark, sf_dir):
 
 @query
 def results_page(spark, sf_dir):
-    rows = filters.where_equal(lines(spark, sf_dir), boq_id=BOQ_ID)
-    found = paging.page(rows, paging.RESULT_ORDER, 1, K.RESULT_PAGE_SIZE)
+    found = listings.results(lines(spark, sf_dir), boq_id=BOQ_ID).rows
     return found.select(*LINE_COLUMNS, time("calculation_timestamp"))
 
 
@@ -315,8 +313,7 @@ def results_count(spark, sf_dir):
 
 @query
 def recent_results_page(spark, sf_dir):
-    rows = filters.where_equal(lines(spark, sf_dir), project_id="proj-3")
-    found = paging.page(rows, paging.RESULT_ORDER, 2, K.RESULT_PAGE_SIZE)
+    found = listings.results(lines(spark, sf_dir), project="proj-3", number=2).rows
     return found.select(*LINE_COLUMNS, time("calculation_timestamp"))
 
 
@@ -382,7 +379,7 @@ def cost_by_region(spark, sf_dir):
 
 @query
 def boq_summary_by_id(spark, sf_dir):
-    return reports.boq_summary_by_id(lines(spark, sf_dir), BOQ_ID)
+    return listings.results(lines(spark, sf_dir), boq_id=BOQ_ID).summary
 
 
 @query
@@ -432,8 +429,7 @@ CATALOG_COLUMNS = [
 
 @query
 def catalog_page(spark, sf_dir):
-    rows = filters.filter_catalog(catalog(spark, sf_dir))
-    found = paging.page(rows, paging.CATALOG_ORDER, 2, K.CATALOG_PAGE_SIZE)
+    found = listings.prices(catalog(spark, sf_dir), number=2).rows
     return found.select(*CATALOG_COLUMNS, day("effective_date"))
 
 
