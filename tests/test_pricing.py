@@ -4,6 +4,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from costloom.operators import joins, pricing, reports
 from samples import TODAY, catalog_of, price, spec, specs_of
@@ -178,6 +179,12 @@ def test_sliced_lookup_spreads_a_hot_key(spark):
     table = spark.createDataFrame([("hot", 7), ("cold", 8)], "k string, v int")
     joined = joins.lookup(rows, table, ["k"], spread_by=["id"], max_rows=0)
     assert joined.where("v = 7").count() == 2000 and joined.columns == ["k", "id", "v"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) >= 3 and max(parts) <= 1200
     missing = joins.lookup(rows, table.where("k = 'cold'"), ["k"], spread_by=["id"], max_rows=0)
     assert missing.where("v is null").count() == 2000
 

@@ -222,3 +222,24 @@ def test_fetch_prices_saves_only_when_asked(spark, tmp_path):
 def test_results_keep_a_year(spark):
     lines = spark.createDataFrame([(date(2023, 5, 7),), (date(2023, 5, 6),), (TODAY,)], "calc_date date")
     assert reports.results_retention(lines, TODAY).count() == 2
+
+
+def test_a_hot_day_is_split_over_files(spark, tmp_path):
+    path = tmp_path / "specs"
+    days = F.when(F.col("id") % 3 == 0, F.lit("2024-05-06")).otherwise(F.concat(F.lit("2024-04-0"), F.col("id") % 9 + 1))
+    rows = spark.range(30_000).repartition(4).select(
+        F.lit("p").alias("project_id"), F.md5(F.col("id").cast("string")).alias("resource_id"),
+        F.sha2(F.col("id").cast("string"), 512).alias("description"), days.cast("timestamp").alias("created_at"),
+        F.lit("n1-standard-1").alias("machine_type"), F.lit(1).alias("vcpu_count"), F.lit(1.0).alias("memory_gb"),
+        F.lit("pd-ssd").alias("disk_type"), F.lit(1).alias("disk_size_gb"), F.lit("r").alias("region"),
+        F.lit(1).alias("usage_duration_hours"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        tables.append(rows, str(path), "specs", many_days=True, now=NOW)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {day.name: len(list(day.glob("*.parquet"))) for day in path.glob("created_date=*")}
+    assert files["created_date=2024-05-06"] > 2
+    assert sum(files.values()) < 40
+    assert tables.read(spark, str(path), "specs").count() == 30_000

@@ -84,8 +84,8 @@ catalog as (
   from found
 )"""
 
-ADHOC = f"""{PARTS},
-found as (
+ADHOC_ROWS = f"""
+found_adhoc as (
   select *, nullif(regexp_extract(d, '({ADHOC_FAMILIES})-', 1), '') as family, {ADHOC_DISK} as disk, {GPU} as gpu,
     {TERM} as term
   from parts where {IS_ADHOC}
@@ -104,8 +104,9 @@ adhoc as (
     '2001-08-01 00:00:00' as last_updated, true as is_active, 'valid' as validation_status, description,
     case when {IS_GPU} then 'gpu' when disk is not null then 'storage' else 'compute' end as category,
     units
-  from found
+  from found_adhoc
 )"""
+ADHOC = f"{PARTS},{ADHOC_ROWS}"
 
 USAGE = (
     "case when pricing_model in ('spot', 'preemptible') then 'Preemptible' "
@@ -443,7 +444,7 @@ def oracle_sql() -> dict[str, str]:
         "catalog_refresh": refreshed,
         "stream_refresh": refreshed,
         "catalog_append": (
-            f"with {CATALOG}, {ADHOC.removeprefix(PARTS).lstrip(',').replace('found', 'found_adhoc')} "
+            f"with {CATALOG}, {ADHOC_ROWS} "
             "select category, effective_date, count(*) as skus from ("
             "select category, cast(effective_date as varchar) as effective_date from catalog union all "
             "select category, effective_date from adhoc) as stored group by category, effective_date"
