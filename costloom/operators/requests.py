@@ -34,13 +34,16 @@ def match_requests(specs: DataFrame, requests: DataFrame, **bounds: int) -> Data
         (_given(name), scope(column, F.array_distinct(F.array_compact(name)))) for name, column in FILTERS.items()
     ]
     everything = scope(EVERYTHING, F.array(F.lit(EVERYTHING)))
+    dimension = F.col("scope.dimension")
+    # A list that has become join values is not carried along, or a list of n values would be stored n times.
+    others = [F.when(dimension != column, F.col(name)).alias(f"_{name}") for name, column in FILTERS.items()]
     wanted = settle(
         requests.withColumn("scope", cases(scopes, everything)).select(
             "boq_id",
             "requested_by",
             "requested_at",
-            *[F.col(name).alias(f"_{name}") for name in FILTERS],
-            F.col("scope.dimension").alias("_dimension"),
+            *others,
+            dimension.alias("_dimension"),
             F.explode("scope.values").alias("_value"),
         )
     )
