@@ -6,18 +6,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from costloom.llm.lines import repeated_lines
 from costloom.llm.near_duplicates import near_duplicates
+from costloom.llm.quality import quality_rules
 from costloom.llm.storage import table
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "of_id": "of_doc_id"})
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select(*base, "base_failed", "distance", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op7_minhash": op7_minhash,
+    "op10_quality": op10_quality,
 }
 
 
+# Lines that repeat an earlier one. A variant is a line less one word; words hold no space, so joined text names them.
+LINE_DEDUP = r"""
+with lines as (
+    select doc_id, unnest(string_split(text, chr(10))) as t, unnest(range(len(string_split(text, chr(10))))) as line
+    from documents where doc_id is not null
+), words as (
+    select doc_id, line, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from lines
+), full_lines as (
+    select doc_id, line, len(w) as size, array_to_string(w, ' ') as t, w, doc_id::hugeint * 1000000000 + line as place
+    from words where len(w) > 0
+), firsts as (
+    select t, any_value(w) as w, any_value(size) as size, min(place) as place from full_lines group by t
+), gaps as (
+    select place, size, unnest(range(size)) as gap, w from firsts where size >= 8
+), variants as (
+    select place, size, gap, array_to_string(list_concat(w[:gap], w[gap + 2:]), ' ') as t from gaps
+), replaced as (
+    select place, min(place) over (partition by size, gap, t) as of from variants
+), shorter as (
+    select v.place as long, f.place as short from variants v join firsts f on v.t = f.t where f.size >= 8
+), near as (
+    select place, min(of) as of from (
+        select place, of from replaced where of < place
+        union all select long, short from shorter where short < long
+        union all select short, long from shorter where long < short
+    ) group by place
+), found as (
+    select l.doc_id, l.line, l.size, f.place < l.place as exact,
+        least(case when f.place < l.place then f.place end, n.of) as of
+    from full_lines l join firsts f on l.t = f.t left join near n on n.place = f.place
+)
+select doc_id, line, size, case when exact then 'exact' else 'near' end as kind,
+    (of // 1000000000)::bigint as of_doc_id, (of % 1000000000)::bigint as of_line
+from found where of is not null
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": LINE_DEDUP}

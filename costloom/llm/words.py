@@ -64,6 +64,11 @@ def sum_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return (total[ends] - total[starts]) * _INVERSE.upto(len(values) + 1)[starts]
 
 
+def power_of(exponents: np.ndarray) -> np.ndarray:
+    """What the hash of a run is multiplied by when it moves ``exponents`` places back."""
+    return _POWERS.upto(int(exponents.max(initial=0)) + 1)[exponents]
+
+
 @dataclass
 class Chunk:
     """Rows ``first`` to ``last`` of a column and their words."""
