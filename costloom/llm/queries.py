@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from costloom.llm.decontamination import benchmark_matches
+from costloom.llm import mixing
 from costloom.llm.lines import repeated_lines
 from costloom.llm.near_duplicates import near_duplicates
 from costloom.llm.quality import quality_rules
 from costloom.llm.storage import table
+from costloom.llm.tokens import context_limits, encoded_lengths
+from costloom.llm.url_rules import rules_table, url_verdicts
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_verdicts(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +31,23 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "of_id": "of_doc_id"})
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "score", "first_word", "n_words", "passage")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_limits(encoded_lengths(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -28,8 +55,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op3_line_dedup": op3_line_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op6_token_counts": op6_token_counts,
     "op7_minhash": op7_minhash,
+    "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 
@@ -71,5 +102,26 @@ from found where of is not null
 """
 
 
+# The longest of the rules that fit each url's host and the beginning of its path.
+URL_FILTER = r"""
+with rests as (
+    select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), parts as (
+    select row_number() over () as row, page_id,
+        translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path
+    from rests
+), rules(verdict, rule, rule_host, rule_path) as (
+    values ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+        ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
+), best as (
+    select row, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+    from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+    group by row
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join best using (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP}
+    return {"op1_url_filter": URL_FILTER, "op3_line_dedup": LINE_DEDUP}

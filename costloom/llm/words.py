@@ -109,19 +109,19 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds
 
 
-def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES, lines: bool = False) -> Iterator[Chunk]:
-    """Cut a column into chunks of rows and find their words. ``lines``: words do not span, nor rows need, line ends."""
+def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES, space: np.ndarray = _SPACE) -> Iterator[Chunk]:
+    """Cut a column into chunks of rows and find their words. ``space``: which bytes stand between words."""
     data, bounds = text_buffers(column)
     first, n = 0, len(bounds) - 1
     while first < n:
         last = int(np.searchsorted(bounds, bounds[first] + chunk_bytes, side="right")) - 1
         last = min(max(last, first + 1), n)
-        yield chunk_of(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], first, last)
+        yield chunk_of(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], first, last, space)
         first = last
 
 
-def chunk_of(data: np.ndarray, bounds: np.ndarray, first: int, last: int) -> Chunk:
-    solid = ~_SPACE[data]
+def chunk_of(data: np.ndarray, bounds: np.ndarray, first: int, last: int, space: np.ndarray = _SPACE) -> Chunk:
+    solid = ~space[data]
     begins, stops = solid.copy(), solid.copy()
     if len(data):
         begins[1:] &= ~solid[:-1]
