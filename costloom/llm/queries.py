@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from costloom.llm import language, mixing, toxicity, warc
 from costloom.llm.decontamination import benchmark_matches
-from costloom.llm import mixing
 from costloom.llm.lines import repeated_lines
 from costloom.llm.near_duplicates import near_duplicates
 from costloom.llm.quality import quality_rules
 from costloom.llm.storage import table
 from costloom.llm.tokens import context_limits, encoded_lengths
 from costloom.llm.url_rules import rules_table, url_verdicts
+from costloom.session import scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 URL_RULES = [
@@ -26,11 +27,24 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_bundles(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_lines(table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"id": "doc_id", "of_id": "of_doc_id"})
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4) == 2
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    marks = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs.where("not held_out").select("doc_id", "text").join(marks, "doc_id"))
+    return toxicity.scored(docs, model, carry=["doc_id", "held_out"])
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "score", "first_word", "n_words", "passage")
@@ -44,6 +58,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 3) == 1
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = language.learn(docs, "text", "lang", ~F.col("held_out"))
+    return language.identified(docs, model, carry=["doc_id", "held_out"]).drop("entropy")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
 
@@ -56,10 +77,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_minhash": op7_minhash,
+    "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
@@ -122,6 +146,19 @@ with rests as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join best using (row)
 """
 
+# Equal payloads of at least 100 bytes: the page with the least id holds them, pages with larger ids revisit it.
+WARC = """
+with payloads as (
+    select page_id, coalesce(html, '') as payload, octet_length(encode(coalesce(html, ''))) as bytes from pages
+), firsts as (
+    select payload, min(page_id) as first from payloads where bytes >= 100 group by payload
+)
+select page_id, bytes::bigint as payload_bytes, sha256(payload) as payload_digest,
+    case when page_id > first then 'revisit' else 'response' end as record_type,
+    case when page_id > first then first end as refers_to
+from payloads left join firsts using (payload)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_FILTER, "op3_line_dedup": LINE_DEDUP}
+    return {"op2_warc": WARC, "op1_url_filter": URL_FILTER, "op3_line_dedup": LINE_DEDUP}
