@@ -13,9 +13,8 @@ TARGETS = {"clean": 0.9, "poor": 0.08, "toxic": 0.02}
 TRAIN_ROWS = 4000  # labelled documents that the classifier is fitted on, per domain
 BUCKETS = 4096  # of hashed words
 EVIDENCE = 200.0  # words at most that a text speaks for, so that long texts keep soft memberships
-RIDGE = 1e-3  # pull of the rates towards 1
-STEPS = 40
-TOLERANCE = 1e-5
+STEPS = 25
+TOLERANCE = 1e-6  # of a domain's share of all tokens
 _GRAIN = 1 << 20
 
 
@@ -85,34 +84,51 @@ def with_memberships(docs: DataFrame, weights: dict, text_col: str, names: list[
     return measured.withColumns(given).drop(*kept.values())
 
 
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """Solution of a small symmetric system, with a trace of ridge against domains that always come together."""
+    n = len(right)
+    ridge = 1e-12 * sum(matrix[i][i] for i in range(n))
+    rows = [[matrix[i][j] + (ridge if i == j else 0.0) for j in range(n)] + [right[i]] for i in range(n)]
+    for i in range(n):
+        pivot = max(range(i, n), key=lambda k: abs(rows[k][i]))
+        rows[i], rows[pivot] = rows[pivot], rows[i]
+        for k in range(n):
+            if k != i and rows[i][i]:
+                factor = rows[k][i] / rows[i][i]
+                rows[k] = [x - factor * y for x, y in zip(rows[k], rows[i])]
+    return [rows[i][n] / rows[i][i] if rows[i][i] else 0.0 for i in range(n)]
+
+
 def fit_rates(members: DataFrame, tokens: str, shares: dict[str, str], targets: dict[str, float]) -> Column:
-    """Rate of each row, as an expression of its memberships, by projected gradient descent.
+    """Rate of each row, as an expression of its memberships, by projected gradient descent from 1.
 
-    Minimises, over rates r >= 0, the sum over domains of (expected share of tokens - target)^2 / present share, plus
-    ``RIDGE`` times the token-weighted squared distance of the rates from 1. Dividing by the present share makes a
-    step of 1 / (1 + RIDGE) safe and rare domains converge as fast as common ones. Each step is one aggregation of a
-    few sums; a step's result enters the next as constants, so rates need no table of their own.
+    Minimises, over rates r >= 0, the squares of the gaps between the expected share of tokens of each domain and its
+    target, weighted by the inverse of the memberships' Gram matrix. With these weights a step of length 1 is safe, and
+    rare or overlapping domains converge as fast as others; without the bound r >= 0 one step would do. Each step is
+    one aggregation of a few sums; its result enters the next as constants, so rates need no table of their own.
     """
-    sums = members.agg(F.sum(tokens), *(F.sum(F.col(tokens) * F.col(c)) for c in shares.values())).first()
+    names = list(shares.values())
+    pairs = [(a, b) for a in names for b in names]
+    sums = members.agg(F.sum(tokens), *(F.sum(F.col(tokens) * F.col(a) * F.col(b)) for a, b in pairs)).first()
     total = sums[0]
     if not total:
         return F.lit(1.0)
-    present = {d: sums[i + 1] / total for i, d in enumerate(shares) if sums[i + 1]}
+    gram = {p: value / total for p, value in zip(pairs, sums[1:])}
+    present = [d for d in shares if gram[shares[d], shares[d]]]
     goal = sum(targets.get(d, 0.0) for d in present)
-    if not present or not goal:
+    if not goal:
         return F.lit(1.0)
-    aims = {d: targets.get(d, 0.0) / goal for d in present}
-    pace = 1 / (1 + RIDGE)
+    matrix = [[gram[shares[a], shares[b]] for b in present] for a in present]
     rate = F.lit(1.0)
     for _ in range(STEPS):
         reached = members.select(tokens, rate.alias("rate"), *(shares[d] for d in present)).agg(
             *(F.sum(F.col(tokens) * F.col("rate") * F.col(shares[d])) for d in present)
         )
-        gaps = {d: value / total - aims[d] for d, value in zip(present, reached.first())}
-        if max(abs(g) for g in gaps.values()) < TOLERANCE:
+        gaps = [value / total - targets.get(d, 0.0) / goal for d, value in zip(present, reached.first())]
+        if max(map(abs, gaps)) < TOLERANCE:
             break
-        slope = sum((F.col(shares[d]) * (gaps[d] / present[d]) for d in present), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * (1 - pace * RIDGE) + pace * RIDGE - slope * pace)
+        step = sum((F.col(shares[d]) * move for d, move in zip(present, _solved(matrix, gaps))), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), rate - step)
     return rate
 
 
