@@ -28,15 +28,15 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     gives an empty result. Each round is two aggregations with map-side combine and two equi-joins; the links are
     stored after each round, so a lost executor costs one round at most.
     """
-    now = stored(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
-    )
+    now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    last = None
     for _ in range(max_rounds):
-        inner = now.join(now.select(F.col("a").alias("b")), "b", "left_semi")  # links whose lesser end hangs elsewhere
-        twice = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-        if inner.isEmpty() and twice.isEmpty():
+        now = stored(_among_smaller(_towards_least(now)), "links")
+        if last is not None:
+            discard(last)
+        last = now
+        ends = now.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        roles = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if roles.where("up > 1 or (up = 1 and down = 1)").isEmpty():  # every node hangs on a root
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        after = stored(_among_smaller(_towards_least(now)), "links")
-        discard(now)
-        now = after
     raise RuntimeError(f"no stable components after {max_rounds} rounds")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from costloom.llm.components import components
 from costloom.llm.storage import discard, stored
@@ -119,20 +120,67 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return rows.mapInArrow(_confirm(size, percent), "a long, b long")
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """In each bucket, every row with the first and with the one before it, if their components differ."""
-    order = Window.partitionBy("key").orderBy("comp", "node")
-    other = F.struct(F.col("node"), F.col("comp"))
-    near = rows.select("node", "comp", F.array(F.first(other).over(order), F.lag(other).over(order)).alias("near"))
-    pairs = near.select("node", "comp", F.explode("near").alias("other")).where("other.comp <> comp")
-    return pairs.select(F.least("other.node", "node").alias("a"), F.greatest("other.node", "node").alias("b"))
+def _tokens(size: int):
+    """Rows (node, comp, text) to one row per shingle of the set."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                sets = [values for _, values in shingle_sets(part.column(2), size)]
+                n = np.array([len(v) for v in sets], np.int64)
+                rows = pa.array(np.repeat(np.arange(len(n)), n))
+                token = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(np.repeat(n, n)), pa.array(token)],
+                    ["node", "comp", "n", "token"],
+                )
+
+    return run
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """In each bucket, every two rows of different components."""
-    other = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("other"))
-    pairs = rows.withColumnRenamed("node", "a").join(other, "key")
-    return pairs.where("a < b and comp <> other").select("a", "b")
+def _across(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of nodes (a, b) of different components that may be linked, without pairing whole buckets.
+
+    Rows (node, comp) are those that met others in a bucket. In any one order of all shingles, two linked sets share a
+    shingle near the beginning of both: if u and v have i and j shingles before their first common one, at most
+    n_u - i and n_v - j are shared, and a link needs percent (n_u + n_v) / (100 + percent). The order is by rarity among
+    these nodes, so what a copy has for itself comes first and meets nobody. Longer sets look for shorter ones by
+    shingle and size class, only as far as their place allows. Within a shingle, rows of its largest component are
+    paired with those of others only.
+    """
+    sets = texts.join(rows, "node").select("node", "comp", "text")
+    tokens = stored(sets.mapInArrow(_tokens(size), "node long, comp long, n long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("df > 1")
+    of_node = Window.partitionBy("node")
+    ranked = tokens.join(often, "token").withColumn("place", F.row_number().over(of_node.orderBy("df", "token")))
+    place = F.col("n") - F.count("*").over(of_node) + F.col("place") - 1  # shingles of the node alone come first
+    ranked = ranked.withColumn("place", place).where("lo < hi").where(f"100 * (n - place) >= {percent} * n")
+    prefix = stored(ranked.select("node", "comp", "n", "token", "place"), "prefix")
+    counts = prefix.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    largest = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("comps"))
+    prefix = prefix.join(largest.where("comps > 1"), "token")
+
+    def step(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / math.log(1.02)).cast("int")
+
+    shorter = F.least(F.col("n"), F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent).cast("long") - F.col("n"))
+    least = F.ceil(F.col("n") * percent / 100).cast("long")
+    longer = prefix.where(shorter >= least).withColumn("step", F.explode(F.sequence(step(least), step(shorter))))
+    shorter_sets = prefix.where(f"{100 + percent} * (n - place) >= {2 * percent} * n").select(
+        "token", step(F.col("n")).alias("step"), *(F.col(c).alias(f"{c}2") for c in ("node", "comp", "n", "place"))
+    )
+    fits = f"n2 <= n and comp <> comp2 and {100 + percent} * least(n - place, n2 - place2) >= {percent} * (n + n2)"
+    pairs = [
+        longer.where("comp <> largest").join(shorter_sets, ["token", "step"]),
+        longer.where("comp = largest").join(shorter_sets.join(largest, "token").where("comp2 <> largest").drop("largest", "comps"), ["token", "step"]),
+    ]
+    return (
+        pairs[0].where(fits).select("node", "node2")
+        .union(pairs[1].where(fits).select("node", "node2"))
+        .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+        .distinct()
+    )
 
 
 def near_duplicates(
@@ -145,9 +193,9 @@ def near_duplicates(
     that differs in at most 27 symbols has a chunk with at most one differing symbol (pigeonhole), and each document
     enumerates the allowed error: every chunk with each symbol left out is a key, so each such pair meets in a bucket.
     A pair of similarity 0.8 misses every bucket with a probability of 6 in a million, one of 0.85 of 1 in a hundred
-    million. Equal sets are one node before any join. Buckets are not expanded into all pairs: their rows are first
-    tested against their best partner, then against the first and the previous row; only rows of a bucket that are
-    still in different components are then paired, so no link between components is lost.
+    million. Equal sets are one node before any join. Buckets are not expanded into all pairs: rows are first
+    tested against the first and the previous row of their bucket; rows of a bucket that are then in different
+    components are compared by their rarest shingles (:func:`_across`), so no link between components is lost.
 
     Null or empty texts and texts without a word have no shingles, no links and are kept. Rows that share an id are
     linked, and each is returned. Rows with a null id are returned with a null component, kept, and linked with
@@ -185,21 +233,17 @@ def near_duplicates(
     texts = stored(source.join(needed, ["id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     near = buckets.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b"))
-    shared = near.where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    best = shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    tested = stored(best, "tested")
+    tested = stored(near.where("a < b").distinct(), "tested")
     links = stored(_linked(tested, texts, size, percent).union(same_id), "links")
-    for pairs_of in (_neighbours, _across):
-        labels = components(links)
-        rows = buckets.select("key", "node").join(labels, "node", "left")
-        rows = rows.select("key", "node", F.coalesce("component", "node").alias("comp"))
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        rows = stored(rows.join(mixed.select("key"), "key", "left_semi"), "rows")
-        pairs = stored(pairs_of(rows).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.union(_linked(pairs, texts, size, percent)), "links")
-        tested = tested.union(pairs)
-        discard(rows)
     labels = components(links)
+    rows = buckets.select("key", "node").join(labels, "node", "left")
+    rows = rows.select("key", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    rows = rows.join(mixed.select("key"), "key", "left_semi").select("node", "comp").distinct()
+    pairs = stored(_across(rows, texts, size, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = stored(_linked(pairs, texts, size, percent), "links")
+    if not found.isEmpty():
+        labels = components(links.union(found))
     discard(buckets, texts)
 
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
