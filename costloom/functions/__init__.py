@@ -16,3 +16,8 @@ def cases(pairs: Iterable[tuple[Column, object]], otherwise: object = None) -> C
     for condition, value in pairs:
         chain = chain.when(condition, value)
     return chain.otherwise(otherwise)
+
+
+def utc_day(moment: Column) -> Column:
+    """The UTC date of a timestamp, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(moment) / F.lit(86_400_000_000)).cast("int"))

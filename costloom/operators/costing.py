@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costloom import constants as K, schemas
-from costloom.functions import cases, literal, rates
+from costloom.functions import cases, literal, rates, utc_day
 from costloom.operators.pricing import price_all
 
 SPEC_FIELDS = [
@@ -115,7 +115,7 @@ def cost_lines(
             "calculation_timestamp": literal(calculated_at).cast("timestamp"),
             "requested_by": literal(requested_by).cast("string"),
             "additional_storage_costs": extra_disk_costs(disks, F.col("usage_duration_hours")),
-            "pricing_date": literal(calculated_at).cast("date"),
+            "pricing_date": utc_day(literal(calculated_at).cast("timestamp")),
             "calculation_version": F.lit(K.CALCULATION_VERSION),
         }
         | {name: F.lit(None).cast("string") for name in SPEC_FIELDS if name not in costed.columns}

@@ -8,11 +8,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from costloom.session import settle
+
 # A lookup table is broadcast only when it is measured to be within both bounds.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
-# Beyond them the table is repeated per slice, up to about this many rows in all.
-SLICED_ROWS = 1_000_000_000
+# Beyond them, a key with more rows than this is hot. There are at most rows / HOT_ROWS such keys.
+HOT_ROWS = 1_000_000
 
 
 class Size(NamedTuple):
@@ -36,22 +38,29 @@ def lookup(
     on: Sequence[str],
     how: str = "left",
     spread_by: Sequence[str] | None = None,
+    hot_rows: int = HOT_ROWS,
     **bounds: int,
 ) -> DataFrame:
     """Join ``df`` with a settled table that holds few rows per key.
 
-    A small table is broadcast and ``df`` is not shuffled. A large one is joined by one shuffle in which each key of
-    ``df`` is cut into slices and the table is repeated per slice, so that a key that holds a third of all rows is
-    spread over as many tasks as the shuffle has; adaptive execution can split what is still uneven.
+    A small table is broadcast and ``df`` is not shuffled. A large one is joined by one shuffle. Only hot keys, found
+    by counting with map-side combine, are cut into slices of about ``hot_rows`` rows, and only their rows of the table
+    are repeated: at most hot keys times slices. Adaptive execution splits what is still uneven.
     """
-    size = measure(table)
-    if size.fits(**bounds):
+    if measure(table).fits(**bounds):
         return df.join(F.broadcast(table), list(on), how)
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(1, min(partitions, SLICED_ROWS // max(size.rows, 1)))
-    slice_of = F.pmod(F.xxhash64(*(spread_by or df.columns)), F.lit(slices)).cast("int")
-    sliced = table.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return df.withColumn("_slice", slice_of).join(sliced, [*on, "_slice"], how).drop("_slice")
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    hot = settle(counts.select(*on, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_slices")))
+    if hot.isEmpty():
+        return df.join(table, list(on), how)
+    # The hot keys are joined by a broadcast only while they are few; each stands for more than hot_rows rows.
+    keys = F.broadcast(hot) if measure(hot).fits() else hot
+    slice_of = F.pmod(F.xxhash64(*(spread_by or df.columns)), F.coalesce("_slices", F.lit(1))).cast("int")
+    spread = df.join(keys, list(on), "left").withColumn("_slice", slice_of).drop("_slices")
+    sliced = table.join(keys, list(on), "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
+    )
+    return spread.join(sliced.drop("_slices"), [*on, "_slice"], how).drop("_slice")
 
 
 def _text_bytes(field: StructField) -> Column:

@@ -21,6 +21,13 @@ def deactivate(catalog: DataFrame, as_of: date, now: datetime) -> DataFrame:
     )
 
 
+def changing(catalog: DataFrame, as_of: date, keep_days: int = K.CATALOG_KEEP_DAYS) -> DataFrame:
+    """The rows that a refresh of that day retires or removes."""
+    expired = (F.col("effective_date") < F.date_sub(F.lit(as_of), keep_days)) & ~F.col("is_active")
+    retired = F.col("is_active") & (F.col("effective_date") < F.lit(as_of))
+    return catalog.where(F.coalesce(retired | expired, F.lit(False)))
+
+
 def drop_expired(catalog: DataFrame, as_of: date, keep_days: int = K.CATALOG_KEEP_DAYS) -> DataFrame:
     """Remove inactive rows older than ``keep_days``."""
     old = F.col("effective_date") < F.date_sub(F.lit(as_of), keep_days)

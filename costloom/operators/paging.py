@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from costloom.session import settle
 
-# Sort orders. The ids at the end make the order total; without them, pages could overlap.
+# Sort orders. The columns at the end make the order total; without them, pages could overlap. Rows that are equal in
+# all of a catalog order's columns are copies of one price.
 SPEC_ORDER = [("created_at", "desc"), ("resource_id", "asc"), ("project_id", "asc")]
-RESULT_ORDER = [("calculation_timestamp", "desc"), ("resource_id", "asc"), ("boq_id", "asc")]
+RESULT_ORDER = [("calculation_timestamp", "desc"), ("resource_id", "asc"), ("boq_id", "asc"), ("project_id", "asc")]
 CATALOG_ORDER = [
     ("service_name", "asc"), ("category", "asc"), ("sku_name", "asc"), ("sku_id", "asc"), ("effective_date", "asc"),
+    ("last_updated", "asc"), ("usage_type", "asc"), ("region", "asc"), ("price_per_unit", "asc"),
 ]
 
 # A top-k plan keeps offset + size rows in every task, so deeper pages take another way.

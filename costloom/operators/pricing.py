@@ -32,8 +32,8 @@ COMBINATIONS = {
 }
 
 
-def price_book(catalog: DataFrame) -> DataFrame:
-    """(kind, usage_type, item, region, price), one row per key; a null region is the global price.
+def price_book(catalog: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(kind, usage_type, item, region, price) of the given kinds, one row per key; a null region is the global price.
 
     Among rows of the same key the latest effective date wins, then the smallest sku id.
     """
@@ -43,17 +43,19 @@ def price_book(catalog: DataFrame) -> DataFrame:
         row = F.struct(F.lit(kind).alias("kind"), usage.alias("usage_type"), F.col(item).alias("item"))
         return F.when((category == wanted) & F.col(item).isNotNull(), row)
 
-    entries = F.array_compact(
-        F.array(
+    of_kind = {
+        "compute": [
             entry("machine", "compute", F.col("usage_type"), "machine_type"),
             entry("family", "compute", F.col("usage_type"), "machine_family"),
-            entry("disk", "storage", F.lit(ANY_USAGE), "disk_type"),
-            entry("gpu", "gpu", F.lit(ANY_USAGE), "gpu_type"),
-        )
-    )
+        ],
+        "storage": [entry("disk", "storage", F.lit(ANY_USAGE), "disk_type")],
+        "gpu": [entry("gpu", "gpu", F.lit(ANY_USAGE), "gpu_type")],
+    }
+    entries = F.array_compact(F.array(*(e for kind in kinds for e in of_kind[kind])))
     rank = F.struct(-F.unix_date("effective_date"), "sku_id", "price_per_unit")
     return (
         catalog.where(F.col("is_active") & (F.col("service_name") == K.COMPUTE_SERVICE_NAME))
+        .where(F.col("category").isin(*kinds))
         .select(F.inline(entries), "region", "price_per_unit", rank.alias("rank"))
         .groupBy("kind", "usage_type", "item", "region")
         .agg(F.min_by("price_per_unit", "rank").alias("price"))
@@ -66,7 +68,7 @@ def price_all(specs: DataFrame, catalog: DataFrame, kinds: Sequence[str] = KINDS
     Exact machine type before family, and regional before global; without a hit, compute and storage fall back to
     estimated rates and a GPU costs nothing.
     """
-    book = settle(price_book(catalog))
+    book = settle(price_book(catalog, kinds))
     found = specs.withColumns(
         {
             "_usage": rates.usage_type_of(F.col("pricing_model")),

@@ -14,14 +14,14 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costloom import constants as K
-from costloom.functions import cases, rates
+from costloom.functions import cases, rates, utc_day
 from costloom.operators import joins
 from costloom.session import settle
 
 
 
 def with_calc_date(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("calc_date", F.to_date("calculation_timestamp"))
+    return lines.withColumn("calc_date", utc_day(F.col("calculation_timestamp").cast("timestamp")))
 
 
 def since(column: str, as_of: date, days: int) -> Column:
@@ -79,6 +79,23 @@ def boq_summary(lines: DataFrame) -> DataFrame:
     return summary.where("total_resources > 0")
 
 
+def run_summary(lines: DataFrame) -> DataFrame:
+    """One row: the totals of a run and its cost by project and by region, as maps."""
+
+    def costs(column: str) -> DataFrame:
+        entry = F.struct(F.coalesce(column, F.lit("")), "total_cost_usd")
+        return cost_by(lines, column).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(f"cost_by_{column}"))
+
+    totals = lines.agg(
+        F.count(F.lit(1)).alias("resources_processed"),
+        F.coalesce(rates.exact_sum(F.col("total_cost_usd")), F.lit(0.0)).alias("total_cost_usd"),
+        F.coalesce(rates.exact_sum(F.col("total_discount_usd")), F.lit(0.0)).alias("total_discount_usd"),
+    )
+    parts = (totals, costs("project_id"), costs("region"))
+    merged = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return merged.agg(*(F.first(name, ignorenulls=True).alias(name) for name in merged.columns))
+
+
 def boq_summary_by_id(lines: DataFrame, boq_id: str) -> DataFrame:
     parts = (
         lines.where(F.col("boq_id") == boq_id)
@@ -104,7 +121,11 @@ def cost_by(lines: DataFrame, *columns: str) -> DataFrame:
     return lines.groupBy(*columns).agg(rates.exact_sum(F.col("total_cost_usd")).alias("total_cost_usd"))
 
 
-def update_report(catalog: DataFrame, effective_date: date, total_records: int | Column | None = None) -> DataFrame:
+def update_report(
+    catalog: DataFrame, effective_date: date, total_records: int | None = None, updated: datetime | None = None
+) -> DataFrame:
+    """Active prices of a day by category. With ``total_records``, each row also has the day, that number and the time
+    of the update; without any category one row has these alone."""
     price = F.col("price_per_unit")
     report = (
         catalog.where((F.col("effective_date") == F.lit(effective_date)) & F.col("is_active"))
@@ -117,8 +138,13 @@ def update_report(catalog: DataFrame, effective_date: date, total_records: int |
         )
     )
     if total_records is not None:
-        total = total_records if isinstance(total_records, Column) else F.lit(total_records)
-        report = report.withColumns({"effective_date": F.lit(effective_date), "total_records": total})
+        envelope = {
+            "effective_date": F.lit(effective_date),
+            "total_records": F.lit(total_records).cast("bigint"),
+            "update_time": F.lit(updated).cast("timestamp"),
+        }
+        alone = catalog.sparkSession.range(1 if report.isEmpty() else 0).drop("id")
+        report = report.unionByName(alone, allowMissingColumns=True).withColumns(envelope)
     return report.orderBy("category", "service_name")
 
 
@@ -185,16 +211,21 @@ def monthly_cost(rollup: DataFrame) -> DataFrame:
 def cost_anomalies(lines: DataFrame, sigmas: float = 3.0, **bounds: int) -> DataFrame:
     """Lines that cost more than their project's mean plus ``sigmas`` standard deviations.
 
-    Mean and deviation come from exact sums of micro-dollars and their squares.
+    Mean and deviation come from exact sums of micro-dollars and their squares. The squares are moved to the whole part
+    of the mean in decimals, so nothing large is subtracted in floating point.
     """
     micros = rates.in_units(F.col("total_cost_usd")).cast("decimal(19,0)")
-    n, total, squares = F.col("n").cast("double"), F.col("s").cast("double"), F.col("q").cast("double")
-    variance = F.greatest(F.lit(0.0), F.try_divide(squares - total * total / n, n - F.lit(1.0)))
+    sums = lines.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(micros).alias("s"), F.sum(micros * micros).alias("q")
+    )
+    moved = sums.where("n > 1").withColumn("m", F.expr("cast(s div n as decimal(18,0))"))
+    moved = moved.withColumn("r", F.expr("cast(s - m * n as decimal(19,0))"))
+    squares = F.expr("q - m * cast(s + r as decimal(20,0))").cast("double")
+    n, rest = F.col("n").cast("double"), F.col("r").cast("double")
+    variance = F.greatest(F.lit(0.0), (squares - rest * rest / n) / (n - F.lit(1.0)))
+    mean = F.col("m").cast("double") + rest / n
     limits = settle(
-        lines.groupBy("project_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(micros).alias("s"), F.sum(micros * micros).alias("q"))
-        .where("n > 1")
-        .select("project_id", ((total / n + F.lit(sigmas) * F.sqrt(variance)) / rates.MICROS).alias("cost_limit"))
+        moved.select("project_id", ((mean + F.lit(sigmas) * F.sqrt(variance)) / rates.MICROS).alias("cost_limit"))
     )
     flagged = joins.lookup(lines, limits, ["project_id"], "inner", spread_by=["resource_id"], **bounds)
     return flagged.where(F.col("total_cost_usd") > F.col("cost_limit"))

@@ -69,9 +69,10 @@ def match_requests(specs: DataFrame, requests: DataFrame, **bounds: int) -> Data
 
 
 def boq_for_requests(specs: DataFrame, catalog: DataFrame, requests: DataFrame, **bounds: int) -> DataFrame:
-    matched = match_requests(specs, requests, **bounds)
-    priced = price_all(matched, catalog, **bounds)
-    return cost_lines(priced, F.col("boq_id"), F.col("requested_at"), F.col("requested_by"))
+    """The lines of all requests. Resources are priced once, before requests multiply them."""
+    priced = price_all(specs, catalog, **bounds)
+    matched = match_requests(priced, requests, **bounds)
+    return cost_lines(matched, F.col("boq_id"), F.col("requested_at"), F.col("requested_by"))
 
 
 def _given(name: str) -> Column:

@@ -9,6 +9,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from costloom.functions import utc_day
 from costloom.operators import catalog as catalogs
 from costloom.operators import costing, filters, maintenance, quality, reports
 from costloom.session import settle
@@ -23,6 +24,13 @@ class EmptyFeed(RuntimeError):
     """A feed without a usable price would retire the whole older catalog."""
 
 
+@dataclass
+class Refresh:
+    number: int
+    report: DataFrame
+    rejects: DataFrame
+
+
 @dataclass
 class BoqRun:
     boq_id: str
@@ -33,6 +41,11 @@ class BoqRun:
     def summary(self) -> DataFrame:
         return reports.boq_summary(self.lines)
 
+    @property
+    def overview(self) -> DataFrame:
+        """The whole answer as one row: resources processed, totals, and cost by project and by region as maps."""
+        return reports.run_summary(self.lines)
+
     @property
     def cost_by_project(self) -> DataFrame:
         return reports.cost_by(self.lines, "project_id")
@@ -54,17 +67,20 @@ def run_boq(
     boq_id: str | None = None,
     now: datetime | None = None,
 ) -> BoqRun:
-    """Price the matching resources, append their lines, and return the stored lines with their summaries."""
+    """Price the matching resources, store their lines, and return the stored lines with their summaries.
+
+    A run with an id that was used before on the same UTC day replaces those lines.
+    """
     boq_id, now = boq_id or str(uuid.uuid4()), now or tables.utc_now()
     chosen = filters.filter_specs(specs, project_ids, resource_ids, regions, pricing_models)
     if chosen.isEmpty():
         raise NothingFound("no resource specifications match the filters")
     valid, rejects = quality.split_valid(chosen, "specs")
     lines = costing.boq_lines(valid, catalog, boq_id, now, requested_by)
-    tables.append_lines(lines, results_path, now=now)
+    tables.append_lines(lines, results_path, boq_id, now=now)
     # Read the stored lines back, from one day's folder, instead of computing them again for each summary.
     stored = tables.read(specs.sparkSession, results_path, "results")
-    mine = (F.col("calc_date") == F.to_date(F.lit(now))) & (F.col("boq_id") == boq_id)
+    mine = (F.col("calc_date") == utc_day(F.lit(now).cast("timestamp"))) & (F.col(tables.WRITER) == boq_id)
     return BoqRun(boq_id, stored.where(mine), rejects)
 
 
@@ -74,19 +90,31 @@ def refresh_catalog(
     as_of: date,
     now: datetime | None = None,
     require_nonempty: bool = True,
-    base: int | None = None,
-    number: int | None = None,
-) -> DataFrame:
-    """Retire, append and expire into a new snapshot, and return the refresh report."""
+    key: str = "",
+) -> Refresh:
+    """Retire, append and expire into a new snapshot. Only days with a row that changes are written again.
+
+    Prices without a required column are returned as rejects; a feed without any valid price raises ``EmptyFeed``.
+    """
     spark, now = feed.sparkSession, now or tables.utc_now()
     # Used for the check, the write and the report, so it is computed once.
-    fetched = settle(catalogs.build_catalog(feed, as_of, now))
-    records = fetched.count()
+    fetched = settle(quality.apply_defaults(catalogs.build_catalog(feed, as_of, now), "catalog", now))
+    valid, rejects = quality.split_valid(fetched, "catalog")
+    records = valid.count()
     if require_nonempty and not records:
         raise EmptyFeed("the feed has no usable price; nothing was written")
-    current = tables.read_snapshot(spark, catalog_path, base)
-    written = tables.write_snapshot(maintenance.refresh(current, fetched, as_of, now), catalog_path, number, now)
-    return reports.update_report(tables.read_snapshot(spark, catalog_path, written), as_of, records)
+    done = tables.snapshots(spark, catalog_path)
+    folders = tables.folders(spark, catalog_path, done[-1]) if done else []
+    current = tables.read_folders(spark, catalog_path, folders)
+    # At most one row per day of the catalog.
+    days = maintenance.changing(current, as_of).select(F.col("effective_date").cast("string")).distinct().collect()
+    touched = {row[0] for row in days}
+    old = tables.read_folders(spark, catalog_path, [f for f in folders if tables.day_of(f) in touched])
+    keep = [f for f in folders if tables.day_of(f) not in touched]
+    rows = maintenance.refresh(old, valid, as_of, now)
+    number = tables.write_snapshot(rows, catalog_path, now=now, keep=keep, key=key)
+    written = tables.read_snapshot(spark, catalog_path, number)
+    return Refresh(number, reports.update_report(written, as_of, records, now), rejects)
 
 
 def fetch_prices(
@@ -96,12 +124,16 @@ def fetch_prices(
     save_to: str | None = None,
     now: datetime | None = None,
 ) -> DataFrame:
-    """Catalog rows of the on-demand profile; appended to the catalog only when asked to."""
+    """Catalog rows of the on-demand profile. With ``save_to``, they are added to that catalog, and the stored rows are
+    returned; those without a required column are kept below ``<save_to>_rejected``."""
     now = now or tables.utc_now()
     rows = catalogs.build_catalog(feed, as_of, now, profile="adhoc", region=region)
-    if save_to:
-        tables.append_catalog(rows, save_to, now)
-    return rows
+    if not save_to:
+        return rows
+    stored, rejects = tables.append_catalog(settle(rows), save_to, now)
+    if not rejects.isEmpty():
+        rejects.write.mode("append").parquet(f"{save_to.rstrip('/')}_rejected")
+    return stored
 
 
 def update_rollup(lines: DataFrame, rollup_path: str) -> None:

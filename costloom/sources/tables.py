@@ -1,20 +1,26 @@
 """The three tables as date-partitioned Parquet.
 
-Results and specs are appended. The catalog also sees updates and deletes, which plain Parquet has not: it is kept
-as numbered snapshots. A snapshot counts once Spark has written its ``_SUCCESS`` file, so readers never see half a
-refresh, and a writer that died leaves only an unfinished number that the next attempt overwrites.
+Results and specs are appended. Lines of one writer (a run, or a batch of a stream) lie in a folder of their own below
+each day, which the same writer replaces when it runs again. The catalog also sees updates and deletes, which plain
+Parquet has not: it is kept as numbered snapshots. A writer claims a number by creating a file, writes only new or
+changed days below ``v=<number>``, and then names all folders of the snapshot, its own and those it takes over from the
+one before, in a manifest that appears by a rename. Readers follow the latest manifest, so they never see half a
+change; a writer that died leaves a claimed number and nothing else.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from costloom import schemas
+from costloom.functions import utc_day
 from costloom.operators import quality
 
+WRITER = "write_id"  # inner partition of the results
 DERIVED_DATES = {"specs": "created_at", "results": "calculation_timestamp"}
 
 
@@ -30,7 +36,7 @@ def lay_out(df: DataFrame, table: str, many_days: bool = False) -> DataFrame:
     """
     day, order = schemas.LAYOUT[table]
     if table in DERIVED_DATES:
-        df = df.withColumn(day, F.to_date(DERIVED_DATES[table]))
+        df = df.withColumn(day, utc_day(F.col(DERIVED_DATES[table]).cast("timestamp")))
     if many_days:
         df = df.hint("rebalance", day)
     return df.sortWithinPartitions(day, *order)
@@ -43,40 +49,50 @@ def append(df: DataFrame, path: str, table: str, many_days: bool = False, now: d
     return rejects
 
 
-def append_lines(lines: DataFrame, path: str, many_days: bool = False, now: datetime | None = None) -> None:
-    """Append result lines of valid resources.
+def append_lines(
+    lines: DataFrame, path: str, write_id: str, many_days: bool = False, now: datetime | None = None
+) -> None:
+    """Add result lines of valid resources; lines that ``write_id`` has stored for these days before are replaced.
 
     Such lines are complete by construction. Testing the computed costs for null would calculate them twice.
     """
-    _write(lay_out(_declared(lines, "results", now), "results", many_days), path, "results", "append")
+    rows = lay_out(_declared(lines, "results", now), "results", many_days).withColumn(WRITER, F.lit(write_id))
+    day, _ = schemas.LAYOUT["results"]
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, WRITER).parquet(path)
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read with the declared schema; filters on the date column prune whole folders."""
-    day, _ = schemas.LAYOUT[table]
-    fields = schemas.SCHEMAS[table]
-    if day not in fields.names:
-        fields = StructType(list(fields.fields)).add(day, "date")
+    fields = _with_day(table)
+    if table == "results":
+        fields = fields.add(WRITER, "string")
     return spark.read.schema(fields).parquet(path)
 
 
 def snapshots(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the finished snapshots, ascending."""
-    files, root = _files(spark, path)
-    if not files.exists(root):
-        return []
-    numbers = []
-    for entry in files.listStatus(root):
-        name = entry.getPath().getName()
-        if name.startswith("v=") and files.exists(_child(spark, entry.getPath(), "_SUCCESS")):
-            numbers.append(int(name[2:]))
-    return sorted(numbers)
+    return _numbers(spark, path, "_manifest-")
 
 
 def snapshot_path(path: str, number: int) -> str:
     return f"{path.rstrip('/')}/v={number}"
 
 
+def folders(spark: SparkSession, path: str, number: int) -> list[str]:
+    """The day folders of a finished snapshot, relative to the catalog."""
+    return _manifest(spark, path, number)[1:]
+
+
+def snapshot_keys(spark: SparkSession, path: str) -> set[str]:
+    """The keys that writers have given to finished snapshots."""
+    return {_manifest(spark, path, n)[0] for n in snapshots(spark, path)}
+
+
+def day_of(folder: str) -> str:
+    """The day of a folder, as written in its name."""
+    return folder.rsplit("=", 1)[1]
+
+
 def read_snapshot(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
     """A catalog snapshot, the latest by default; an empty catalog when there is none."""
     if number is None:
@@ -84,25 +100,65 @@ def read_snapshot(spark: SparkSession, path: str, number: int | None = None) ->
         if not numbers:
             return spark.createDataFrame([], schemas.CATALOG)
         number = numbers[-1]
-    return read(spark, snapshot_path(path, number), "catalog")
+    return read_folders(spark, path, folders(spark, path, number))
 
 
-def write_snapshot(catalog: DataFrame, path: str, number: int | None = None, now: datetime | None = None) -> int:
-    """Write a whole catalog as the next snapshot (or as the given number) and return the number."""
-    done = snapshots(catalog.sparkSession, path)
-    if number is None:
-        number = done[-1] + 1 if done else 0
-    if number in done:
-        raise ValueError(f"snapshot {number} is already complete")
-    valid, _ = quality.split_valid(_declared(catalog, "catalog", now), "catalog")
-    _write(lay_out(valid, "catalog", many_days=True), snapshot_path(path, number), "catalog", "overwrite")
+def read_folders(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    if not names:
+        return spark.createDataFrame([], _with_day("catalog"))
+    root = path.rstrip("/")
+    reader = spark.read.schema(_with_day("catalog")).option("basePath", root)
+    return reader.parquet(*(f"{root}/{name}" for name in names)).drop("v")
+
+
+def write_snapshot(
+    catalog: DataFrame,
+    path: str,
+    number: int | None = None,
+    now: datetime | None = None,
+    keep: Sequence[str] = (),
+    key: str = "",
+) -> int:
+    """Write rows as the next snapshot (or the given number), beside the ``keep`` folders, and return the number.
+
+    A number that another writer has claimed is refused. No row is left out: callers split off invalid ones before.
+    """
+    spark = catalog.sparkSession
+    number = _claim(spark, path, number)
+    target = snapshot_path(path, number)
+    _write(lay_out(_declared(catalog, "catalog", now), "catalog", many_days=True), target, "catalog", "overwrite")
+    _finish(spark, path, number, [*keep, *_day_folders(spark, path, number)], key)
+    return number
+
+
+def carry_forward(spark: SparkSession, path: str, key: str) -> int:
+    """A snapshot equal to the latest, which records that the writer ``key`` had nothing to add."""
+    done = snapshots(spark, path)
+    number = _claim(spark, path, None)
+    _finish(spark, path, number, folders(spark, path, done[-1]) if done else [], key)
     return number
 
 
-def append_catalog(rows: DataFrame, path: str, now: datetime | None = None) -> DataFrame:
-    """Append rows to the latest snapshot without touching older rows; returns the rejected rows."""
-    numbers = snapshots(rows.sparkSession, path)
-    return append(rows, snapshot_path(path, numbers[-1] if numbers else 0), "catalog", now=now)
+def append_catalog(rows: DataFrame, path: str, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """Add rows as a new snapshot that takes over all older folders; returns (stored rows, rejected rows)."""
+    spark = rows.sparkSession
+    valid, rejects = quality.split_valid(_declared(rows, "catalog", now), "catalog")
+    done = snapshots(spark, path)
+    kept = folders(spark, path, done[-1]) if done else []
+    number = write_snapshot(valid, path, now=now, keep=kept)
+    return read_folders(spark, path, _day_folders(spark, path, number)), rejects
+
+
+def expire_snapshots(spark: SparkSession, path: str, keep: int = 30) -> None:
+    """Delete all but the last ``keep`` snapshots, with the folders that none of those needs."""
+    done = snapshots(spark, path)
+    old, needed = done[:-keep], {f for n in done[-keep:] for f in folders(spark, path, n)}
+    files, root = _files(spark, path)
+    for number in old:
+        unused = [f for f in _day_folders(spark, path, number) if f not in needed]
+        files.delete(_child(spark, root, f"_manifest-{number}"), False)
+        for folder in unused:
+            files.delete(_child(spark, root, folder), True)
 
 
 def write_days(df: DataFrame, path: str, day: str) -> None:
@@ -125,6 +181,61 @@ def _write(df: DataFrame, path: str, table: str, mode: str) -> None:
     df.write.mode(mode).partitionBy(day).parquet(path)
 
 
+def _with_day(table: str) -> StructType:
+    day, _ = schemas.LAYOUT[table]
+    fields = StructType(list(schemas.SCHEMAS[table].fields))
+    return fields if day in fields.names else fields.add(day, "date")
+
+
+def _claim(spark: SparkSession, path: str, number: int | None) -> int:
+    """Take the next free number, or the given one, for this writer alone."""
+    files, root = _files(spark, path)
+    files.mkdirs(root)
+    taken = {*_numbers(spark, path, "_claim-"), *_numbers(spark, path, "_manifest-")}
+    wanted = number if number is not None else max(taken, default=-1) + 1
+    while not files.createNewFile(_child(spark, root, f"_claim-{wanted}")):
+        if number is not None:
+            raise ValueError(f"snapshot {number} belongs to another writer")
+        wanted += 1
+    return wanted
+
+
+def _finish(spark: SparkSession, path: str, number: int, names: Sequence[str], key: str) -> None:
+    files, root = _files(spark, path)
+    draft = _child(spark, root, f"_draft-{number}")
+    out = files.create(draft, True)
+    out.write(bytearray("\n".join([key, *names]).encode()))
+    out.close()
+    if not files.rename(draft, _child(spark, root, f"_manifest-{number}")):
+        raise OSError(f"cannot finish snapshot {number} of {path}")
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> list[str]:
+    files, root = _files(spark, path)
+    stream = files.open(_child(spark, root, f"_manifest-{number}"))
+    try:
+        return bytes(stream.readAllBytes()).decode().split("\n")
+    finally:
+        stream.close()
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    files, root = _files(spark, path)
+    if not files.exists(root):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(root)]
+    return sorted(int(name[len(prefix) :]) for name in names if name.startswith(prefix))
+
+
+def _day_folders(spark: SparkSession, path: str, number: int) -> list[str]:
+    files, root = _files(spark, path)
+    own = _child(spark, root, f"v={number}")
+    if not files.exists(own):
+        return []
+    names = sorted(entry.getPath().getName() for entry in files.listStatus(own) if entry.isDirectory())
+    return [f"v={number}/{name}" for name in names if "=" in name]
+
+
 def _files(spark: SparkSession, path: str):
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     return root.getFileSystem(spark._jsc.hadoopConfiguration()), root

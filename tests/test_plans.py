@@ -57,7 +57,7 @@ def test_scans_read_only_needed_columns(spark, sf_dir):
 
 def test_date_reports_prune_partitions(spark, tmp_path):
     path = str(tmp_path / "results")
-    tables.append_lines(costing.boq_lines(specs_of(spark, spec()), catalog_of(spark), "b", NOW), path)
+    tables.append_lines(costing.boq_lines(specs_of(spark, spec()), catalog_of(spark), "b", NOW), path, "all")
     stored = tables.read(spark, path, "results")
     for report in (
         reports.cost_history(stored, TODAY),
@@ -90,9 +90,15 @@ def test_pages_are_top_k(spark, sf_dir):
     assert "TakeOrderedAndProject" in nodes(page)
 
 
-def test_disk_rows_are_limited_before_the_shuffle(spark, sf_dir):
+def test_disks_share_one_exchange_on_the_order_key(spark, sf_dir):
     text = plan(inputs.specs_with_disks(spark, sf_dir))
-    assert re.search(r"WindowGroupLimit.*Partial", text) or text.count("WindowGroupLimit") >= 2
+    exchanges = re.findall(r"hashpartitioning\((\w+)#", text)
+    assert exchanges.count("l_orderkey") == 1 and "resource_id" not in exchanges
+
+
+def test_every_order_line_is_a_disk(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert inputs.specs_with_disks(spark, sf_dir).selectExpr("sum(size(additional_disks))").first()[0] == lines
 
 
 def test_distinct_counts_do_not_multiply_rows(spark, sf_dir):

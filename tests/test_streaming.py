@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from costloom import schemas
 from costloom.operators import costing, requests
+from costloom.plans import jobs
 from costloom.sources import tables
 from costloom.streaming import jobs as streams
 from samples import NOW, TODAY, catalog_of, price, seed_specs, spec, specs_of
@@ -37,12 +38,29 @@ def test_refresh_stream_and_replay(spark, tmp_path):
     drain()
     rows = {(r["sku_id"], r["price_per_unit"]): r["is_active"] for r in tables.read_snapshot(spark, path).collect()}
     assert rows == {("a", 1.0): False, ("b", 2.0): False, ("a", 3.0): True}
-    assert tables.snapshots(spark, path) == [0, 1, 2]
+    assert tables.snapshots(spark, path) == [0, 1]
     # A batch that runs again finds its snapshot complete.
     before = sorted(map(str, tables.read_snapshot(spark, path).collect()))
-    streams.refresh_batch(spark.read.schema("skuId string").json(str(inbox)), 1, path, day(1))
-    assert tables.snapshots(spark, path) == [0, 1, 2]
+    own = streams.stream_id(spark, progress)
+    streams.refresh_batch(spark.read.schema("skuId string").json(str(inbox)), 1, path, day(1), stream=own)
+    assert tables.snapshots(spark, path) == [0, 1]
     assert sorted(map(str, tables.read_snapshot(spark, path).collect())) == before
+    # A stream with a new checkpoint starts at batch 0 and skips nothing.
+    write_feed(inbox, "3.json", ("c", "4"))
+    streams.start_refresh(spark, str(inbox), path, str(tmp_path / "fresh"), as_of=lambda _: day(3)).awaitTermination()
+    rows = {r["sku_id"] for r in tables.read_snapshot(spark, path).where("is_active").collect()}
+    assert rows == {"a", "b", "c"}
+
+
+def test_a_feed_file_without_prices_does_not_stop_the_stream(spark, tmp_path):
+    path, inbox, progress = str(tmp_path / "catalog"), tmp_path / "feed", str(tmp_path / "progress")
+    for name, skus in (("1.json", [("a", "1")]), ("2.json", [("", "")]), ("3.json", [("b", "2")])):
+        write_feed(inbox, name, *skus)
+        if name == "2.json":
+            (inbox / name).write_text(json.dumps({"skuId": "none", "description": "nothing for sale"}))
+        streams.start_refresh(spark, str(inbox), path, progress, as_of=lambda _: TODAY).awaitTermination()
+    assert {r["sku_id"] for r in tables.read_snapshot(spark, path).collect()} == {"a", "b"}
+    assert tables.snapshots(spark, path) == [0, 1, 2]
 
 
 REQUESTS = [
@@ -130,8 +148,30 @@ def test_boq_stream_and_replay(spark, tmp_path):
     assert counts() == {"b1": 1, "b2": 21, "b3": 2}
     # Running the first batch again replaces its own lines.
     again = spark.read.schema(schemas.REQUEST).json(str(inbox / "1.json"))
-    streams.boq_batch(again, 0, seed_specs(spark), catalog_of(spark), path)
+    streams.boq_batch(again, 0, seed_specs(spark), catalog_of(spark), path, streams.stream_id(spark, progress))
     assert counts() == {"b1": 1, "b2": 21, "b3": 2}
+    # A new checkpoint starts at batch 0 again and loses nothing; a run shares the table.
+    (inbox / "1.json").unlink()
+    (inbox / "2.json").unlink()
+    (inbox / "4.json").write_text(json.dumps({"boq_id": "b4", "regions": ["us-west1"], "requested_at": stamp}))
+    streams.start_boq(
+        spark, str(inbox), lambda: seed_specs(spark), lambda: catalog_of(spark), path, str(tmp_path / "fresh")
+    ).awaitTermination()
+    jobs.run_boq(seed_specs(spark), catalog_of(spark), path, regions=["us-west1"], boq_id="run", now=NOW)
+    assert counts() == {"b1": 1, "b2": 21, "b3": 2, "b4": 1, "run": 1}
+    assert tables.read(spark, path, "results").count() == 26
+
+
+def test_broken_resources_and_requests_without_lines_are_kept(spark, tmp_path):
+    path = str(tmp_path / "results")
+    specs = specs_of(spark, spec(resource_id="ok", region="a"), spec(resource_id="bad", region="b", machine_type=None))
+    batch = filled(spark.createDataFrame([("x", ["a"]), ("y", ["b"]), ("z", ["c"])], "boq_id string, regions array<string>"))
+    for _ in range(2):
+        streams.boq_batch(batch, 3, specs, catalog_of(spark), path, "s")
+    assert [(r["boq_id"], r["resource_id"]) for r in tables.read(spark, path, "results").collect()] == [("x", "ok")]
+    rejected = spark.read.parquet(f"{path}_rejected").collect()
+    assert [(r["boq_id"], r["resource_id"], r["missing_columns"]) for r in rejected] == [("y", "bad", ["machine_type"])]
+    assert {r["boq_id"] for r in spark.read.parquet(f"{path}_unmatched").collect()} == {"y", "z"}
 
 
 def test_a_request_without_id_keeps_its_own_id_on_replay(spark, tmp_path):

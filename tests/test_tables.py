@@ -119,7 +119,7 @@ def test_an_unfinished_snapshot_is_ignored_and_overwritten(spark, tmp_path):
     path = str(tmp_path / "catalog")
     tables.write_snapshot(stock(spark), path)
     stock(spark).write.parquet(tables.snapshot_path(path, 1))
-    (tmp_path / "catalog" / "v=1" / "_SUCCESS").unlink()
+    # No manifest names these folders.
     assert tables.snapshots(spark, path) == [0]
     assert tables.write_snapshot(stock(spark).limit(2), path) == 1
     assert tables.read_snapshot(spark, path).count() == 2
@@ -173,6 +173,12 @@ def test_run_boq(spark, tmp_path):
     assert summary["total_cost_usd"] == pytest.approx(278.7055 + 20.038948, abs=1e-5)
     assert {r["region"] for r in run.cost_by_region.collect()} == {"us-west1", "us-east1"}
     assert run.cost_by_project.count() == 1
+    overview = run.overview.first()
+    assert overview["resources_processed"] == 2 and set(overview["cost_by_region"]) == {"us-west1", "us-east1"}
+    assert sum(overview["cost_by_project_id"].values()) == pytest.approx(overview["total_cost_usd"])
+    # A run with the same id replaces its lines.
+    run = jobs.run_boq(specs, catalog, path, regions=["us-west1", "us-east1"], boq_id=run.boq_id, now=NOW)
+    assert tables.read(spark, path, "results").count() == 2
     # A second run appends beside the first and has its own id.
     other = jobs.run_boq(specs, catalog, path, regions=["us-west1"], now=NOW)
     assert other.boq_id != run.boq_id
@@ -191,11 +197,86 @@ def test_refresh_job(spark, tmp_path):
     path = str(tmp_path / "catalog")
     tables.write_snapshot(stock(spark), path)
     feed = feed_of(spark, sku("new", nanos="0", units="3"), sku("newer", "SSD disk", nanos="0", units="1"))
-    report = jobs.refresh_catalog(feed, path, TODAY, NOW)
+    report = jobs.refresh_catalog(feed, path, TODAY, NOW).report
     rows = {r["category"]: r for r in report.collect()}
     assert rows["compute"]["record_count"] == 2 and rows["compute"]["avg_price"] == 2.0
     assert rows["storage"]["record_count"] == 1 and rows["storage"]["total_records"] == 2
     assert tables.snapshots(spark, path) == [0, 1]
+    assert rows["compute"]["update_time"] is not None and str(rows["compute"]["effective_date"]) == str(TODAY)
+
+
+def test_a_report_without_categories_keeps_its_envelope(spark):
+    rows = reports.update_report(catalog_of(spark), TODAY, 7, NOW).collect()
+    assert [(r["category"], r["total_records"], str(r["effective_date"])) for r in rows] == [(None, 7, str(TODAY))]
+
+
+def test_a_feed_of_invalid_rows_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    tables.write_snapshot(stock(spark), path)
+    broken = feed_of(spark, sku("x")).withColumn("skuId", F.lit(None).cast("string"))
+    with pytest.raises(jobs.EmptyFeed):
+        jobs.refresh_catalog(broken, path, TODAY, NOW)
+    assert tables.snapshots(spark, path) == [0]
+    both = jobs.refresh_catalog(broken.unionByName(feed_of(spark, sku("ok"))), path, TODAY, NOW)
+    assert [r["missing_columns"] for r in both.rejects.collect()] == [["sku_id"]]
+    assert {r["total_records"] for r in both.report.collect()} == {1}
+
+
+def test_a_refresh_writes_only_days_that_change(spark, tmp_path):
+    path = tmp_path / "catalog"
+    tables.write_snapshot(stock(spark), str(path))
+    jobs.refresh_catalog(feed_of(spark, sku("new")), str(path), TODAY, NOW)
+    old, new = tables.folders(spark, str(path), 0), tables.folders(spark, str(path), 1)
+    day = lambda n: f"effective_date={TODAY - timedelta(days=n)}"
+    assert set(new) - set(old) == {f"v=1/{day(0)}", f"v=1/{day(1)}"} | ({f"v=1/{day(91)}"} & set(new))
+    assert {f"v=0/{day(0)}", f"v=0/{day(90)}"} <= set(new) and f"v=0/{day(1)}" not in new
+    assert set(active(tables.read_snapshot(spark, str(path)))) == {"today", "yesterday", "retired 90", "unknown", "new"}
+    assert set(active(tables.read_snapshot(spark, str(path), 0))) == set(active(stock(spark)))
+
+
+def test_a_claimed_number_is_refused_and_skipped(spark, tmp_path):
+    path = tmp_path / "catalog"
+    tables.write_snapshot(stock(spark), str(path))
+    (path / "_claim-1").touch()  # of a writer that works still or has died
+    with pytest.raises(ValueError):
+        tables.write_snapshot(stock(spark), str(path), 1)
+    assert tables.write_snapshot(stock(spark).limit(1), str(path)) == 2
+    assert tables.snapshots(spark, str(path)) == [0, 2]
+
+
+def test_an_append_leaves_older_snapshots_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    tables.write_snapshot(stock(spark), path)
+    before = sorted(map(str, tables.read_snapshot(spark, path, 0).collect()))
+    stored, rejects = tables.append_catalog(catalog_of(spark, price(sku_id="more"), price(sku_id=None)), path, NOW)
+    assert [r["sku_id"] for r in stored.collect()] == ["more"] and rejects.count() == 1
+    assert sorted(map(str, tables.read_snapshot(spark, path, 0).collect())) == before
+    assert tables.read_snapshot(spark, path).count() == len(before) + 1
+
+
+def test_old_snapshots_expire_with_their_own_folders(spark, tmp_path):
+    path = tmp_path / "catalog"
+    tables.write_snapshot(stock(spark), str(path))
+    for n in range(3):
+        jobs.refresh_catalog(feed_of(spark, sku(f"new {n}")), str(path), TODAY + timedelta(days=n), NOW)
+    latest = sorted(map(str, tables.read_snapshot(spark, str(path)).collect()))
+    tables.expire_snapshots(spark, str(path), keep=1)
+    assert tables.snapshots(spark, str(path)) == [3]
+    assert sorted(map(str, tables.read_snapshot(spark, str(path)).collect())) == latest
+    assert {f"{p.parent.name}/{p.name}" for p in path.glob("v=*/*=*")} == set(tables.folders(spark, str(path), 3))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+def test_days_are_those_of_utc_in_any_session(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        early = datetime(2024, 5, 6, 2, tzinfo=timezone.utc)
+        run = jobs.run_boq(seed_specs(spark), catalog_of(spark), str(tmp_path / "r"), regions=["us-west1"], now=early)
+        row = run.lines.first()
+        assert (str(row["calc_date"]), str(row["pricing_date"])) == ("2024-05-06", "2024-05-06")
+        assert [p.name for p in (tmp_path / "r").glob("calc_date=*")] == ["calc_date=2024-05-06"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_an_empty_feed_does_not_retire_the_catalog(spark, tmp_path):

@@ -84,17 +84,13 @@ select 'sku-' || cast(p_partkey as string) as sku_id,
 from {part}
 """
 
-# At most two disks per order. Only the first two rows of an order are kept, before any shuffle (see the plan test).
+# Every order line is a disk of its order's resource.
 DISK_ROWS_SQL = """
-select l_orderkey, rn,
+select l_orderkey,
+  row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) as rn,
   case l_partkey % 3 when 0 then 'pd-ssd' when 1 then 'pd-standard' else 'pd-balanced' end as disk_type,
   cast(10 + l_partkey % 990 as bigint) as size_gb
-from (
-  select l_orderkey, l_partkey,
-    row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) as rn
-  from {lineitem}
-) as numbered
-where rn <= 2
+from {lineitem}
 """
 
 
@@ -120,13 +116,18 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})
 
 
+def _specs(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    rows = _sql(spark, sf_dir, text, "orders", "customer", "nation", "region")
+    return rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One resource per order. ``boq_id`` is the run its cost line is filed under."""
-    rows = _sql(spark, sf_dir, SPECS_SQL, "orders", "customer", "nation", "region")
-    return rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return _specs(spark, sf_dir, SPECS_SQL)
 
 
 def specs_with_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resources with their disks, joined on the order key: one exchange of the lines serves all three steps."""
     rows = _sql(spark, sf_dir, DISK_ROWS_SQL, "lineitem")
     disks = rows.groupBy("l_orderkey").agg(
         F.transform(
@@ -138,10 +139,8 @@ def specs_with_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         ).alias("additional_disks")
     )
-    named = disks.select(
-        F.concat(F.lit("res-"), F.col("l_orderkey").cast("string")).alias("resource_id"), "additional_disks"
-    )
-    return specs(spark, sf_dir).join(named, "resource_id", "left")
+    keyed = _specs(spark, sf_dir, SPECS_SQL.replace("select ", "select o_orderkey, ", 1))
+    return keyed.join(disks, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("o_orderkey", "l_orderkey")
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:

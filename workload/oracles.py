@@ -279,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
     def lines(text: str) -> str:
         return f"with {LINES} {text}"
 
-    result_order = "lines.created_at desc, resource_id, boq_id"
+    result_order = "lines.created_at desc, resource_id, boq_id, project_id"
     stamped = f"{LINE_COLUMNS}, {CREATED} as calculation_timestamp"
     refreshed = catalog(
         f"select {MAINTAINED}, is_active, {CATALOG_DATES}, {UPDATED} as last_updated from ({REFRESHED}) as kept"
@@ -374,6 +374,12 @@ def oracle_sql() -> dict[str, str]:
         "recent_count": lines("select count(*) as count from lines where project_id = 'proj-3'"),
         "boq_requests": requested,
         "stream_boq": requested,
+        "stream_and_run": lines(
+            f"select boq_id, count(*) as lines, {COST} as total_cost_usd from ("
+            f"select new_id as boq_id, total_cost_usd from ({REQUESTED}) as wanted union all "
+            "select 'run', total_cost_usd from lines where region in ('us-central1', 'us-east1')) as both_kinds "
+            "group by boq_id"
+        ),
         "boq_summary": lines(SUMMARY),
         "run_boq": lines(f"{SUMMARY} where {FILTERED}"),
         "cost_by_project": lines(f"select project_id, {COST} as total_cost_usd from lines group by project_id"),
@@ -392,23 +398,27 @@ def oracle_sql() -> dict[str, str]:
             "group by calc_date order by calc_date desc"
         ),
         "results_append": lines(
-            f"select cast({MONTH.format('calc_date')} as varchar) as date, count(distinct boq_id) as calculations, "
+            "select cast(calc_date as varchar) as date, count(distinct boq_id) as calculations, "
+            f"count(*) as total_resources, {COST} as total_cost from lines group by 1"
+        ),
+        "results_pruned": lines(
+            "select cast(calc_date as varchar) as date, count(distinct boq_id) as calculations, "
             f"count(*) as total_resources, {COST} as total_cost from lines "
-            f"where {MONTH.format('calc_date')} >= cast(date '2001-08-01' - interval 365 day as date) group by 1"
+            "where calc_date >= cast(date '2001-08-01' - interval 365 day as date) group by 1"
         ),
         "today_by_project": lines(
             f"select project_id, {COST} as total_cost, count(*) as resource_count from lines "
             "where calc_date = date '2001-08-01' group by project_id order by total_cost desc, project_id"
         ),
         "table_layout": parts(
-            f"select cast({MONTH.format('created_at')} as varchar) as created_date, region, count(*) as resources "
-            f"from specs where {MONTH.format('created_at')} >= cast(date '2001-08-01' - interval 365 day as date) "
-            "group by 1, 2"
+            "select cast(cast(created_at as date) as varchar) as created_date, region, count(*) as resources "
+            "from specs group by 1, 2"
         ),
         "catalog_page": catalog(
             _page(
                 "catalog where is_active",
-                "service_name, category, sku_name, sku_id, catalog.effective_date",
+                "service_name, category, sku_name, sku_id, catalog.effective_date, catalog.last_updated, usage_type, region, "
+                "price_per_unit",
                 100,
                 100,
                 f"{CATALOG_COLUMNS}, {CATALOG_DATES}",
@@ -481,15 +491,16 @@ def oracle_sql() -> dict[str, str]:
         ),
         "cost_anomaly": lines(
             f""", sums as (
-              select project_id, cast(count(*) as double) as n, cast(sum(cast(m as hugeint)) as double) as s,
-                cast(sum(cast(m as hugeint) * m) as double) as q
+              select project_id, count(*) as n, sum(cast(m as hugeint)) as s, sum(cast(m as hugeint) * m) as q
               from (select project_id, cast(round(total_cost_usd * 1e6) as bigint) as m from lines) as micros
               group by project_id having count(*) > 1
             ),
+            moved as (select *, s // n as m, s % n as r from sums),
             limits as (
-              select project_id, (s / n + {registry.ANOMALY_SIGMAS}e0 * sqrt(greatest(0e0, (q - s * s / n)
-                / (n - 1e0)))) / 1e6 as cost_limit
-              from sums
+              select project_id, (cast(m as double) + cast(r as double) / n
+                + {registry.ANOMALY_SIGMAS}e0 * sqrt(greatest(0e0, (cast(q - m * (s + r) as double)
+                - cast(r as double) * cast(r as double) / n) / (n - 1e0)))) / 1e6 as cost_limit
+              from moved
             )
             select resource_id, project_id, total_cost_usd, cost_limit from lines join limits using (project_id)
             where total_cost_usd > cost_limit"""

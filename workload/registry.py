@@ -7,6 +7,7 @@ them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,8 +34,9 @@ LINE_COLUMNS = [
     "boq_id", "resource_id", "project_id", "region", "pricing_model", "subtotal_usd", "total_discount_usd",
     "total_cost_usd",
 ]
-ANOMALY_SIGMAS = 2.0
+ANOMALY_SIGMAS = 3.0
 BUDGETS = {"automobile": 1e5, "building": 1e6, "furniture": 1e7, "household": 1e8}
+EPOCH = date(1970, 1, 1)
 FILTER_REGIONS = ["us-central1", "us-east1"]
 FILTER_MODELS = ["spot", "cud-1-year"]
 
@@ -486,22 +488,33 @@ def run_boq(spark, sf_dir):
 
 @query
 def results_append(spark, sf_dir):
-    """All lines, calculated at the start of their month, stored by day and read back."""
-    path, month = scratch_path(spark, "results"), F.date_trunc("month", "created_at")
-    result = costing.boq_lines(specs(spark, sf_dir), catalog(spark, sf_dir), F.col("boq_id"), month, "tester")
-    tables.append_lines(result, path, many_days=True)
+    """All lines, calculated when their resource was created, stored by day and read back whole."""
+    return _stored_history(spark, sf_dir, (AS_OF - EPOCH).days)
+
+
+@query
+def results_pruned(spark, sf_dir):
+    """The last year of the same table: the date filter prunes folders."""
+    return _stored_history(spark, sf_dir, 365)
+
+
+def _stored_history(spark, sf_dir, days):
+    path = scratch_path(spark, "results")
+    result = costing.boq_lines(
+        specs(spark, sf_dir), catalog(spark, sf_dir), F.col("boq_id"), F.col("created_at"), "tester"
+    )
+    tables.append_lines(result, path, "all", many_days=True)
     stored = tables.read(spark, path, "results")
-    return reports.cost_history(stored, AS_OF, 365).select(day("date"), "calculations", "total_resources", "total_cost")
+    return reports.cost_history(stored, AS_OF, days).select(day("date"), "calculations", "total_resources", "total_cost")
 
 
 @query
 def table_layout(spark, sf_dir):
-    """All resources, created at the start of their month, stored by day and read back."""
+    """All resources, stored by the day of their creation and read back whole."""
     path = scratch_path(spark, "specs")
-    rows = specs(spark, sf_dir).withColumn("created_at", F.date_trunc("month", "created_at"))
-    tables.append(rows, path, "specs", many_days=True, now=NOW)
-    recent = tables.read(spark, path, "specs").where(reports.since("created_date", AS_OF, 365))
-    return recent.groupBy(day("created_date"), "region").agg(F.count(F.lit(1)).alias("resources"))
+    tables.append(specs(spark, sf_dir), path, "specs", many_days=True, now=NOW)
+    stored = tables.read(spark, path, "specs")
+    return stored.groupBy(day("created_date"), "region").agg(F.count(F.lit(1)).alias("resources"))
 
 
 @query
@@ -517,8 +530,8 @@ def catalog_append(spark, sf_dir):
 def refresh_job(spark, sf_dir):
     path = scratch_path(spark, "catalog")
     tables.write_snapshot(catalog(spark, sf_dir), path)
-    report = jobs.refresh_catalog(feed(spark, sf_dir), path, REFRESH_DAY, REFRESH_TIME)
-    return report.withColumn("effective_date", day("effective_date"))
+    report = jobs.refresh_catalog(feed(spark, sf_dir), path, REFRESH_DAY, REFRESH_TIME).report
+    return report.drop("update_time").withColumn("effective_date", day("effective_date"))
 
 
 @query
@@ -548,7 +561,22 @@ def stream_boq(spark, sf_dir):
         scratch_path(spark, "progress"),
     )
     stream.awaitTermination()
-    return spark.read.parquet(path).select(*LINE_COLUMNS, "requested_by")
+    return tables.read(spark, path, "results").select(*LINE_COLUMNS, "requested_by")
+
+
+@query
+def stream_and_run(spark, sf_dir):
+    """Streamed requests and a run in one results table, counted and added up by run."""
+    inbox, path = scratch_path(spark, "requests"), scratch_path(spark, "results")
+    request_rows(spark, sf_dir).write.json(inbox)
+    own = specs(spark, sf_dir).drop("boq_id")
+    streams.start_boq(
+        spark, inbox, lambda: own, lambda: catalog(spark, sf_dir), path, scratch_path(spark, "progress")
+    ).awaitTermination()
+    jobs.run_boq(own, catalog(spark, sf_dir), path, regions=FILTER_REGIONS, boq_id="run", now=NOW)
+    return tables.read(spark, path, "results").groupBy("boq_id").agg(
+        F.count(F.lit(1)).alias("lines"), rates.exact_sum(F.col("total_cost_usd")).alias("total_cost_usd")
+    )
 
 
 # Declared reports.
