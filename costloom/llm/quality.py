@@ -19,9 +19,9 @@ WINDOW = 8  # words
 MIN_GROUP = 100  # rows a group needs for an estimate of its own; smaller ones take their language's, then the table's
 CORE = 0.75  # share of a group's rows that the least determinant is sought over
 STEPS = 4
-PRIOR_WORDS = 50  # words of an average text mixed into each, so that short texts do not stand out by chance
+PRIOR_WORDS, PRIOR_LINES = 50, 10  # of an average text mixed into each, so that short texts do not stand out by chance
 FLOOR = 0.05  # added spread of each transformed statistic, so that constant ones have a finite distance
-MAX_DISTANCE = 60.0  # squared; six normal variables exceed it once in 200 million
+MAX_DISTANCE = 30.0  # squared; six normal variables exceed it 4 times in 100,000
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
 _P = 6
@@ -114,18 +114,16 @@ def with_statistics(docs: DataFrame, text_col: str, carry: list[str]) -> DataFra
 
 
 def _share(part: str, whole: str, prior: float) -> Column:
-    """Angle of a share: spreads evenly from none to all."""
-    return F.asin(F.sqrt(F.least(F.lit(1.0), F.col(part) / (F.col(whole) + prior))))
+    return F.least(F.lit(1.0), F.col(part) / (F.col(whole) + prior))
 
 
 def _vector() -> Column:
+    """Log of the mean word length; angles of the shares of characters, which spread evenly from none to all; and plain
+    shares of what is repeated, as one repeated line or passage is no outlier."""
     length = (F.col("word_chars") + 5.0 * PRIOR_WORDS) / (F.col("n_words") + PRIOR_WORDS)
-    parts = [
-        F.log(length), _share("n_symbols", "word_chars", 5.0 * PRIOR_WORDS), _share("n_marks", "word_chars", 5.0 * PRIOR_WORDS),
-        _share("n_capitals", "word_chars", 5.0 * PRIOR_WORDS), _share("n_repeat_words", "n_words", PRIOR_WORDS),
-        _share("n_dup_lines", "n_lines", 5.0),
-    ]
-    return F.array(*(F.round(p, 4) for p in parts))
+    characters = [_share(c, "word_chars", 5.0 * PRIOR_WORDS) for c in ("n_symbols", "n_marks", "n_capitals")]
+    repeats = [_share("n_repeat_words", "n_words", PRIOR_WORDS), _share("n_dup_lines", "n_lines", PRIOR_LINES)]
+    return F.array(*(F.round(p, 4) for p in (F.log(length), *(F.asin(F.sqrt(c)) for c in characters), *repeats)))
 
 
 def _base_failed() -> Column:
