@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from costloom.llm.storage import fresh, stored
 from costloom.llm.words import Chunk, chunks, constants, mix
 
-WINDOW = 8  # words
-GRAM_SIZES = (3, 4, 5, 6)  # characters, with a mark before and after the word; whole words have a vector too
+WINDOW = 6  # words
+GRAM_SIZES = (3, 4, 5)  # characters, with a mark before and after the word
 BUCKETS = 1 << 17
 WIDTH = 8  # of a vector
 TRAIN_ROWS = 4000  # labelled texts of each class that are learnt from, chosen by a hash
-TRAIN_WINDOWS = 60_000  # windows of each class that are learnt from, chosen by a hash
-EPOCHS, BATCH, RATE = 4, 256, 0.15
+TRAIN_WINDOWS = 100_000  # windows of each class that reach the driver, chosen by a hash
+ROUNDS, ROUND_WINDOWS = 3, 30_000  # of training, and windows of each class in one
+EPOCHS, BATCH, RATE, PACE, DECAY = 4, 256, 0.5, 8.0, 1e-4
 THRESHOLD = 0.3
 KEPT_WORDS = 1 << 20  # word scores that a task remembers before it starts anew
 
@@ -46,26 +47,19 @@ def trimmed(chunk: Chunk) -> Chunk:
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' character n-grams, one after the other, and where each word's begin (and the end)."""
-    marked = [f"<{w.lower()}>" for w in words]
+    marked = [f"<{w.lower() or ' '}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     edge = np.concatenate([[0], np.cumsum([len(m) for m in marked])]).astype(np.int64)
     owner = np.repeat(np.arange(len(words)), np.diff(edge))
     values, owners = [], []
-    for size in (*GRAM_SIZES, 0):
-        if size:
-            if len(codes) < size:
-                continue
+    for size in GRAM_SIZES:
+        if len(codes) >= size:
             total = np.zeros(len(codes) - size + 1, np.uint64)
             for j, factor in enumerate(constants(size, 40 + size)):
                 total += codes[j : len(codes) - size + 1 + j] * factor
             inside = owner[: len(total)] == owner[size - 1 :]
             values.append(total[inside])
             owners.append(owner[: len(total)][inside])
-        elif len(words):  # the whole word
-            place = np.arange(len(codes)) - edge[owner]
-            weight = mix(place.astype(np.uint64) + np.uint64(977)) | np.uint64(1)
-            values.append(np.add.reduceat(codes * weight, edge[:-1]))
-            owners.append(np.arange(len(words)))
     if not values:
         return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
     owners_all = np.concatenate(owners)
@@ -144,56 +138,88 @@ def peaks(column: pa.Array, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, toxic, draw) to windows of words one after the other."""
+    """Rows (text, toxic) to windows of words one after the other, with a number that stands for the text."""
     for batch in batches:
         for whole in chunks(batch.column(0)):
-            chunk, out = trimmed(whole), ([], [])
+            chunk, out = trimmed(whole), ([], [], [])
             marks = batch.column(1).slice(chunk.first, chunk.rows).to_pylist()
+            draws = batch.column(2).slice(chunk.first, chunk.rows).to_pylist()
             for row in range(chunk.rows):
                 for at in range(chunk.words[row], chunk.words[row + 1], WINDOW):
                     last = min(at + WINDOW, chunk.words[row + 1])
                     out[0].append(" ".join(chunk.data[chunk.starts[i] : chunk.ends[i]].tobytes().decode() for i in range(at, last)))
                     out[1].append(marks[row])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32())], ["words", "toxic"])
+                    out[2].append(draws[row])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["words", "toxic", "draw"]
+            )
+
+
+def _summed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` added up by ``at``."""
+    return np.stack([np.bincount(at, weights=values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
 
 
 def train(windows: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
-    """Vectors of subwords and softmax weights by stochastic gradient descent over windows."""
+    """Vectors of subwords and softmax weights by stochastic gradient descent over windows, with weight decay."""
     names: dict[str, int] = {}
     tokens = [np.array([names.setdefault(w, len(names)) for w in text.lower().split(" ")], np.int64) for text in windows]
     buckets, edge = subwords(list(names))
     random = np.random.default_rng(seed)
-    vectors = random.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
-    weights, bias = random.uniform(-1, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
-    steps = EPOCHS * math.ceil(len(tokens) / BATCH)
-    for step in range(steps):
-        if step % math.ceil(len(tokens) / BATCH) == 0:
+    vectors = random.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
+    weights, bias = random.uniform(-1, 1, (WIDTH, 2)), np.zeros(2)
+    batches = math.ceil(len(tokens) / BATCH)
+    for step in range(EPOCHS * batches):
+        if step % batches == 0:
             order = random.permutation(len(tokens))
-        at = step % math.ceil(len(tokens) / BATCH)
-        chosen = order[at * BATCH : (at + 1) * BATCH]
-        rate = RATE * (1 - step / steps)
+        chosen = order[step % batches * BATCH : (step % batches + 1) * BATCH]
+        rate = RATE * (1 - step / (EPOCHS * batches))
         parts = [tokens[i] for i in chosen]
-        bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        counts = np.array([len(p) for p in parts])
+        owner = np.repeat(np.arange(len(parts)), counts)
         words, local = np.unique(np.concatenate(parts), return_inverse=True)
         sizes = edge[words + 1] - edge[words]
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        cells = buckets[np.arange(starts[-1]) - np.repeat(starts[:-1] - edge[words], sizes)]
-        of_word = _means(vectors[cells], starts)
-        hidden = _means(of_word[local], bounds)
+        cells, cell = np.unique(buckets[np.arange(starts[-1]) - np.repeat(starts[:-1] - edge[words], sizes)], return_inverse=True)
+        of_word = _means(vectors[cells][cell], starts)
+        hidden = _summed(of_word[local], owner, len(parts)) / counts[:, None]
         odds = hidden @ weights + bias
         shares = np.exp(odds - odds.max(axis=1, keepdims=True))
         shares /= shares.sum(axis=1, keepdims=True)
         shares[np.arange(len(chosen)), toxic[chosen]] -= 1
-        slope = shares @ weights.T  # per window; its words share it evenly
-        weights -= rate * hidden.T @ shares / len(chosen) * 8
+        slope = (shares @ weights.T) / counts[:, None]  # per window; its words share it evenly
+        per_word = _summed(slope[owner], local, len(words)) / sizes[:, None]
+        weights -= rate * (hidden.T @ shares / len(chosen) + DECAY * weights)
         bias -= rate * shares.mean(axis=0)
-        counts = np.diff(bounds)
-        per_word = np.zeros((len(words), WIDTH), np.float32)
-        np.add.at(per_word, local, np.repeat(slope / counts[:, None], counts, axis=0))
-        np.add.at(vectors, cells, np.repeat(-rate * per_word / sizes[:, None], sizes, axis=0) * 8)
+        moved = _summed(np.repeat(per_word, sizes, axis=0), cell, len(cells))
+        vectors[cells] -= rate * (PACE * moved + DECAY * vectors[cells])
     return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def fit(windows: list[str], toxic: np.ndarray, text_of: np.ndarray, seed: int = 7) -> Model:
+    """Train on windows with the labels of their texts, then again with the most toxic window of each toxic text.
+
+    A label says that a text is toxic somewhere. After the first round, the windows of a toxic text compete, and only
+    the highest stands for it; clean texts are clean in every window.
+    """
+    random = np.random.default_rng(seed)
+    clean, found = np.flatnonzero(toxic == 0), np.flatnonzero(toxic == 1)
+    column = pa.array(windows, pa.string())
+    for turn in range(ROUNDS):
+        some = random.permutation(clean)[:ROUND_WINDOWS]
+        chosen = random.permutation(found)[:ROUND_WINDOWS]
+        if turn:
+            chosen = np.resize(chosen, max(len(chosen), len(some) // 3))
+        kept = np.concatenate([some, chosen])
+        model = train([windows[i] for i in kept], toxic[kept], seed)
+        if turn < ROUNDS - 1:
+            score, _ = peaks(column, Memory(model))
+            mine = np.flatnonzero(toxic == 1)
+            order = mine[np.lexsort((-score[mine], text_of[mine]))]
+            found = order[np.concatenate([[True], text_of[order][1:] != text_of[order][:-1]])]
+    return model
+
+
 def settle_odds(model: Model, peak: np.ndarray, windows: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
     """Logistic regression of the label on a text's peak and length, by Newton steps with a little ridge."""
     x = np.stack([peak, np.log(np.maximum(windows, 1)), np.ones(len(peak))], axis=1)
@@ -213,7 +239,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
     """Fit on the rows of ``labelled`` whose label is 0 or 1; None if a class is missing.
 
     About ``TRAIN_ROWS`` texts and ``TRAIN_WINDOWS`` windows of each class are drawn by hashes; those windows are what
-    reaches the driver. Windows of toxic texts that look clean after a first round are left out of the second.
+    reaches the driver.
     """
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
     rows = rows.where("text is not null and toxic in (0, 1)")
@@ -227,22 +253,13 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
         return df.where(F.pmod(key, F.lit(grain)) < limit)
 
     sample = stored(drawn(rows, F.xxhash64("text"), TRAIN_ROWS, totals), "labelled")
-    cut = stored(sample.select("text", "toxic").mapInArrow(_windows, "words string, toxic int"), "windows")
+    cut = stored(sample.select("text", "toxic", F.xxhash64("text")).mapInArrow(_windows, "words string, toxic int, draw long"), "windows")
     sizes = dict(cut.groupBy("toxic").count().collect())
     if set(sizes) != {0, 1}:
         return None
-    picked = drawn(cut, F.xxhash64("words", F.lit(5)), TRAIN_WINDOWS, sizes).orderBy("toxic", "words").toPandas()
+    picked = drawn(cut, F.xxhash64("words", F.lit(5)), TRAIN_WINDOWS, sizes).orderBy("toxic", "words", "draw").toPandas()
     words, toxic = picked["words"].tolist(), picked["toxic"].to_numpy(np.int64)
-    model = train(words, toxic)
-    memory = Memory(model)
-    score, _ = peaks(pa.array(words, pa.string()), memory)
-    clear = (toxic == 0) | (score > np.quantile(score[toxic == 0], 0.98))
-    if (clear & (toxic == 1)).any():
-        kept = np.flatnonzero(clear)
-        some = np.flatnonzero(toxic[kept] == 1)  # as many as the clean windows
-        repeat = np.resize(some, max(len(some), int((toxic[kept] == 0).sum()) // 4))
-        kept = np.concatenate([kept[toxic[kept] == 0], kept[repeat]])
-        model = train([words[i] for i in kept], toxic[kept])
+    model = fit(words, toxic, picked["draw"].to_numpy(np.int64))
     found = sample.select("text", "toxic").mapInArrow(_peaks_of(model), "toxic int, peak double, windows long").toPandas()
     mark = found["toxic"].to_numpy(float)
     share = totals[1] / (totals[0] + totals[1])  # undo the even sampling of the classes
