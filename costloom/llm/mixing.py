@@ -103,9 +103,11 @@ def fit_rates(members: DataFrame, tokens: str, shares: dict[str, str], targets:
     """Rate of each row, as an expression of its memberships, by projected gradient descent from 1.
 
     Minimises, over rates r >= 0, the squares of the gaps between the expected share of tokens of each domain and its
-    target, weighted by the inverse of the memberships' Gram matrix. With these weights a step of length 1 is safe, and
-    rare or overlapping domains converge as fast as others; without the bound r >= 0 one step would do. Each step is
-    one aggregation of a few sums; its result enters the next as constants, so rates need no table of their own.
+    target. A gradient step is scaled by the inverse of the memberships' Gram matrix, so rare or overlapping domains
+    converge as fast as others; without the bound r >= 0 one step would do. The matrix is that of the rows whose rate
+    is not at the bound, as only these can move; a step that did not help is followed by one with the matrix of all
+    rows, which is always safe. Each step is one aggregation of a few sums; its result enters the next as constants, so
+    rates need no table of their own.
     """
     names = list(shares.values())
     pairs = [(a, b) for a in names for b in names]
@@ -118,17 +120,23 @@ def fit_rates(members: DataFrame, tokens: str, shares: dict[str, str], targets:
     goal = sum(targets.get(d, 0.0) for d in present)
     if not goal:
         return F.lit(1.0)
-    matrix = [[gram[shares[a], shares[b]] for b in present] for a in present]
-    rate = F.lit(1.0)
+    whole = [[gram[shares[a], shares[b]] for b in present] for a in present]
+    rate, least = F.lit(1.0), math.inf
     for _ in range(STEPS):
+        free = F.col(tokens) * (F.col("rate") > 0).cast("int")
         reached = members.select(tokens, rate.alias("rate"), *(shares[d] for d in present)).agg(
-            *(F.sum(F.col(tokens) * F.col("rate") * F.col(shares[d])) for d in present)
-        )
-        gaps = [value / total - targets.get(d, 0.0) / goal for d, value in zip(present, reached.first())]
-        if max(map(abs, gaps)) < TOLERANCE:
+            *(F.sum(F.col(tokens) * F.col("rate") * F.col(shares[d])) for d in present),
+            *(F.sum(free * F.col(shares[a]) * F.col(shares[b])) for a in present for b in present),
+        ).first()
+        k = len(present)
+        gaps = [value / total - targets.get(d, 0.0) / goal for d, value in zip(present, reached)]
+        worst = max(map(abs, gaps))
+        if worst < TOLERANCE:
             break
-        step = sum((F.col(shares[d]) * move for d, move in zip(present, _solved(matrix, gaps))), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - step)
+        matrix = [[value / total for value in reached[k + i * k : 2 * k + i * k]] for i in range(k)]
+        moves = _solved(matrix if worst < least else whole, gaps)
+        least = min(least, worst)
+        rate = F.greatest(F.lit(0.0), rate - sum((F.col(shares[d]) * move for d, move in zip(present, moves)), F.lit(0.0)))
     return rate
 
 
