@@ -1,4 +1,5 @@
 import random
+from datetime import timedelta
 
 import pytest
 
@@ -42,6 +43,27 @@ def test_pages_by_key_join_to_the_whole_list(rows):
     assert got == [row[2] for row in expected]
 
 
+@pytest.mark.parametrize("top_rows", [paging.TOP_ROWS, 0])
+def test_result_pages_with_one_id_in_three_projects(spark, top_rows):
+    data = [(NOW, f"r{i // 3}", "b", f"p{i % 3}") for i in range(90)]
+    frame = spark.createDataFrame(data, "calculation_timestamp timestamp, resource_id string, boq_id string, project_id string")
+    frame = frame.repartition(5)
+    pages = [paging.page(frame, paging.RESULT_ORDER, n, 20, top_rows).collect() for n in range(1, 6)]
+    got = [(r["resource_id"], r["project_id"]) for page in pages for r in page]
+    assert got == sorted((r, p) for _, r, _, p in data)
+
+
+@pytest.mark.parametrize("top_rows", [paging.TOP_ROWS, 0])
+def test_catalog_pages_after_two_refreshes_of_a_day(spark, top_rows):
+    names = [name for name, _ in paging.CATALOG_ORDER]
+    hours = [NOW, NOW + timedelta(hours=1)]
+    rows = [price(sku_id=f"s{i % 15}", last_updated=hours[i // 15]) for i in range(30)]
+    frame = catalog_of(spark, *rows).repartition(5)
+    pages = [paging.page(frame, paging.CATALOG_ORDER, n, 7, top_rows).select(names).collect() for n in range(1, 6)]
+    got = [(r["sku_id"], r["last_updated"]) for page in pages for r in page]
+    assert len(got) == len(set(got)) == 30 and got == sorted(got)
+
+
 def test_page_facts(spark):
     def facts(n, number):
         return tuple(paging.page_info(spark.range(n), number, 50).first())

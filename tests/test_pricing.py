@@ -177,7 +177,7 @@ def test_size_check(spark):
 def test_sliced_lookup_spreads_a_hot_key(spark):
     rows = spark.range(2000).selectExpr("'hot' as k", "id")
     table = spark.createDataFrame([("hot", 7), ("cold", 8)], "k string, v int")
-    joined = joins.lookup(rows, table, ["k"], spread_by=["id"], max_rows=0)
+    joined = joins.lookup(rows, table, ["k"], spread_by=["id"], hot_rows=400, max_rows=0)
     assert joined.where("v = 7").count() == 2000 and joined.columns == ["k", "id", "v"]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -185,10 +185,26 @@ def test_sliced_lookup_spreads_a_hot_key(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(parts) >= 3 and max(parts) <= 1200
-    missing = joins.lookup(rows, table.where("k = 'cold'"), ["k"], spread_by=["id"], max_rows=0)
+    missing = joins.lookup(rows, table.where("k = 'cold'"), ["k"], spread_by=["id"], hot_rows=400, max_rows=0)
     assert missing.where("v is null").count() == 2000
 
 
+@pytest.mark.parametrize("hot_rows", [100, 1000])
+def test_only_hot_keys_are_repeated(spark, hot_rows):
+    """One hot key among many, and many more partitions than rows of it."""
+    rows = spark.range(3000).selectExpr("if(id < 900, 'hot', cast(id as string)) as k", "id")
+    table = spark.range(5000).selectExpr("if(id = 0, 'hot', cast(id as string)) as k", "id as v")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        joined = joins.lookup(rows, table, ["k"], spread_by=["id"], hot_rows=hot_rows, max_rows=0)
+        text = joined._jdf.queryExecution().optimizedPlan().toString()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert joined.count() == 3000 and joined.where("k = 'hot' and v = 0").count() == 900
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert ("_slice" in text) == (hot_rows < 900) and "2000" not in text
+
+
 def test_anomalies_by_both_routes(spark):
     rows = [("p1", f"r{i}", 10.0) for i in range(30)] + [("p1", "big", 1000.0), ("p2", "alone", 5.0)]
     lines = spark.createDataFrame(rows, "project_id string, resource_id string, total_cost_usd double")

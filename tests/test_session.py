@@ -17,8 +17,9 @@ def test_a_settled_frame_has_no_lineage_left(spark):
     assert "ExistingRDD" in text and "Range" not in text
 
 
-def test_a_cluster_must_name_its_folder():
-    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[2,1,1024]"])
+def test_a_cluster_must_name_its_folder(master):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
     cluster = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(cluster)
