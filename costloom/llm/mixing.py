@@ -34,10 +34,10 @@ def word_weights(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str)
     """Per domain: log of its prior and of each bucket's share of its words, with add-one smoothing.
 
     The fit takes about ``TRAIN_ROWS`` labelled documents per domain, chosen by a hash of the id; the priors are over
-    all labels. What reaches the driver is one row per domain and bucket.
+    all labelled documents, repeated labels once. What reaches the driver is one row per domain and bucket.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    marks = marks.where("id is not null and domain is not null")
+    marks = marks.where("id is not null and domain is not null").distinct()
     totals = {d: n for d, n in marks.groupBy("domain").count().collect()}
     if not totals:
         return {}
@@ -153,7 +153,7 @@ def mixed(
     scaled to 1; without any labels all rates are 1.
 
     Null and empty texts have no tokens and the prior's memberships. Null ids are treated like others. Repeated rows
-    are returned as often as they come. Labels that are null in both columns are ignored, repeated ones count again.
+    are returned as often as they come. Labels that give no domain are ignored, repeated ones count once.
     Input columns named like an added column keep their name; the added one is prefixed with "_".
     """
     carry = list(docs.columns) if carry is None else carry

@@ -238,8 +238,8 @@ def settle_odds(model: Model, peak: np.ndarray, windows: np.ndarray, toxic: np.n
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on the rows of ``labelled`` whose label is 0 or 1; None if a class is missing.
 
-    About ``TRAIN_ROWS`` texts and ``TRAIN_WINDOWS`` windows of each class are drawn by hashes; those windows are what
-    reaches the driver.
+    About ``TRAIN_ROWS`` texts and ``TRAIN_WINDOWS`` windows of each class are drawn by hashes, copies of a text once;
+    those windows are what reaches the driver.
     """
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
     rows = rows.where("text is not null and toxic in (0, 1)")
@@ -252,12 +252,12 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
         limit = F.when(F.col("toxic") == 1, grain * wanted / of[1]).otherwise(grain * wanted / of[0])
         return df.where(F.pmod(key, F.lit(grain)) < limit)
 
-    sample = stored(drawn(rows, F.xxhash64("text"), TRAIN_ROWS, totals), "labelled")
+    sample = stored(drawn(rows, F.xxhash64("text"), TRAIN_ROWS, totals).dropDuplicates(["text", "toxic"]), "labelled")
     cut = stored(sample.select("text", "toxic", F.xxhash64("text")).mapInArrow(_windows, "words string, toxic int, draw long"), "windows")
     sizes = dict(cut.groupBy("toxic").count().collect())
     if set(sizes) != {0, 1}:
         return None
-    picked = drawn(cut, F.xxhash64("words", F.lit(5)), TRAIN_WINDOWS, sizes).orderBy("toxic", "words", "draw").toPandas()
+    picked = drawn(cut, F.xxhash64("words", "draw", F.lit(5)), TRAIN_WINDOWS, sizes).orderBy("toxic", "words", "draw").toPandas()
     words, toxic = picked["words"].tolist(), picked["toxic"].to_numpy(np.int64)
     model = fit(words, toxic, picked["draw"].to_numpy(np.int64))
     found = sample.select("text", "toxic").mapInArrow(_peaks_of(model), "toxic int, peak double, windows long").toPandas()
