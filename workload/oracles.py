@@ -12,6 +12,7 @@ SPECS = inputs.SPECS_SQL.format(orders="orders", customer="customer", nation="na
 FEED = inputs.FEED_SQL.format(part="part")
 DISK_ROWS = inputs.DISK_ROWS_SQL.format(lineitem="lineitem")
 
+# Machine families, words and names that must equal those of the price feed's rules.
 FAMILIES = "n1|n2|n2d|e2|c2|c2d|m1|m2|f1|g1|a2|t2d|t2a"
 ADHOC_FAMILIES = "n1|n2|n2d|e2|c2|c2d|m1|m2|f1|g1"
 RELEVANT = "instance|vm|virtual machine|disk|storage|persistent|gpu|nvidia|tesla|ip address|network|memory|cpu|core"
@@ -108,6 +109,7 @@ adhoc as (
 )"""
 ADHOC = f"{PARTS},{ADHOC_ROWS}"
 
+# Usage types and disk rates.
 USAGE = (
     "case when pricing_model in ('spot', 'preemptible') then 'Preemptible' "
     "when pricing_model in ('cud-1-year', 'cud-3-year') then 'Committed' else 'OnDemand' end"
