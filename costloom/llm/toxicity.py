@@ -235,8 +235,37 @@ def settle_odds(model: Model, peak: np.ndarray, windows: np.ndarray, toxic: np.n
     model.slope, model.length, model.offset = (float(b) for b in beta)
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Fit on the rows of ``labelled`` whose label is 0 or 1; None if a class is missing.
+_GRAIN = 1 << 20
+
+
+def _drawn(df: DataFrame, key: Column, wanted: int, of: dict[int, int]) -> DataFrame:
+    """About ``wanted`` rows of each class, chosen by a hash; ``of`` has the rows there are."""
+    limit = F.when(F.col("toxic") == 1, _GRAIN * wanted / of.get(1, 1)).otherwise(_GRAIN * wanted / of.get(0, 1))
+    return df.where(F.pmod(key, F.lit(_GRAIN)) < limit)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> tuple[DataFrame, float]:
+    """About ``TRAIN_ROWS`` labelled texts of each class, and the share of toxic labels among all.
+
+    The labels are drawn before they meet the texts, by a hash of the id, and broadcast: texts are not shuffled.
+    Null ids and labels other than 0 and 1 are ignored, repeated labels count once.
+    """
+    marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
+    marks = marks.where("id is not null and toxic in (0, 1)").distinct()
+    totals = dict(marks.groupBy("toxic").count().collect())
+    chosen = _drawn(marks, F.xxhash64("id"), TRAIN_ROWS, totals)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").select("text", "toxic")
+    return stored(rows, "labelled"), totals.get(1, 0) / max(sum(totals.values()), 1)
+
+
+def learn(
+    labelled: DataFrame, share: float | None = None, text_col: str = "text", label_col: str = "toxic"
+) -> Model | None:
+    """Fit on the rows of ``labelled`` whose label is 0 or 1; None if a class is missing. ``share`` of the texts are
+    toxic where the model is used (default: as in ``labelled``).
 
     About ``TRAIN_ROWS`` texts and ``TRAIN_WINDOWS`` windows of each class are drawn by hashes, copies of a text once;
     those windows are what reaches the driver.
@@ -246,23 +275,17 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
     totals = dict(rows.groupBy("toxic").count().collect())
     if set(totals) != {0, 1}:
         return None
-    grain = 1 << 20
-
-    def drawn(df: DataFrame, key: Column, wanted: int, of: dict[int, int]) -> DataFrame:
-        limit = F.when(F.col("toxic") == 1, grain * wanted / of[1]).otherwise(grain * wanted / of[0])
-        return df.where(F.pmod(key, F.lit(grain)) < limit)
-
-    sample = stored(drawn(rows, F.xxhash64("text"), TRAIN_ROWS, totals).dropDuplicates(["text", "toxic"]), "labelled")
+    sample = stored(_drawn(rows, F.xxhash64("text"), TRAIN_ROWS, totals).dropDuplicates(["text", "toxic"]), "labelled")
     cut = stored(sample.select("text", "toxic", F.xxhash64("text")).mapInArrow(_windows, "words string, toxic int, draw long"), "windows")
     sizes = dict(cut.groupBy("toxic").count().collect())
     if set(sizes) != {0, 1}:
         return None
-    picked = drawn(cut, F.xxhash64("words", "draw", F.lit(5)), TRAIN_WINDOWS, sizes).orderBy("toxic", "words", "draw").toPandas()
+    picked = _drawn(cut, F.xxhash64("words", "draw", F.lit(5)), TRAIN_WINDOWS, sizes).orderBy("toxic", "words", "draw").toPandas()
     words, toxic = picked["words"].tolist(), picked["toxic"].to_numpy(np.int64)
     model = fit(words, toxic, picked["draw"].to_numpy(np.int64))
     found = sample.select("text", "toxic").mapInArrow(_peaks_of(model), "toxic int, peak double, windows long").toPandas()
     mark = found["toxic"].to_numpy(float)
-    share = totals[1] / (totals[0] + totals[1])  # undo the even sampling of the classes
+    share = share or totals[1] / (totals[0] + totals[1])  # undo the even sampling of the classes
     weight = np.where(mark == 1, share / max(mark.mean(), 1e-9), (1 - share) / max(1 - mark.mean(), 1e-9))
     settle_odds(model, found["peak"].to_numpy(), found["windows"].to_numpy(), mark, weight)
     return model
