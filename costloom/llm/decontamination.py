@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from costloom.llm.storage import stored
-from costloom.llm.words import Chunk, chunks, ngrams
+from costloom.llm.words import Chunk, chunks, mix, ngrams
 
 GRAM = 3  # words in a seed
-BLOCK = 2  # of so many neighbouring n-grams of an item, the rarest in the corpus is a seed
 THRESHOLD = 0.5  # of the score that the whole item would have against itself
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 1 << 23  # of the filter sent to every task: 1 MB, whatever the number of items
-BROADCAST_ROWS = 500_000  # contaminated documents sent to every executor at most; more are joined by a shuffle
+BROADCAST_ROWS = 500_000  # seeds or contaminated documents sent to every executor at most; more are joined by a shuffle
 
 _BETWEEN = np.ones(256, bool)  # words are runs of ASCII letters and digits and of other characters than ASCII
 _BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -55,19 +55,16 @@ def _passes(values: np.ndarray, found: np.ndarray) -> np.ndarray:
     return (found[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _frequencies(found: np.ndarray):
-    """Documents that hold each n-gram of the filter, summed within a batch."""
+def _held(found: np.ndarray):
+    """N-grams of the filter that a document holds, each once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = []
+            seen = [np.zeros(0, np.uint64)]
             for chunk in chunks(batch.column(0), space=_BETWEEN):
-                values, _, rows = _grams(chunk)
-                hit = _passes(values, found)
-                both = np.unique(np.stack([values[hit], rows[hit].astype(np.uint64)]), axis=1)
-                seen.append(both[0])
-            grams, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "docs"])
+                values, _, _ = _grams(chunk)
+                seen.append(np.unique(values[_passes(values, found)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)).view(np.int64))], ["gram"])
 
     return run
 
@@ -125,34 +122,48 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text hash, item, first word, passage, item text, first and last place to look at) to alignments."""
-    names = ["id", "text_hash", "item_id", "score", "first_word", "n_words", "passage"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
-    for batch in batches:
-        out: list[tuple] = []
-        passages = [None] * batch.num_rows
-        for chunk in chunks(batch.column(4), space=_BETWEEN):
-            hashes = chunk.hashes(lower=True)
-            for row in range(chunk.rows):
-                lo, hi = chunk.words[row], chunk.words[row + 1]
-                passages[chunk.first + row] = (hashes[lo:hi], chunk.starts[lo:hi], chunk.ends[lo:hi], chunk.data)
-        rest = {n: batch.column(n).to_pylist() for n in ("id", "text_hash", "item_id", "first_word", "lo", "hi")}
-        for chunk in chunks(batch.column(5), space=_BETWEEN):
-            hashes = chunk.hashes(lower=True)
-            for row in range(chunk.rows):
-                at = chunk.first + row
-                item = hashes[chunk.words[row] : chunk.words[row + 1]]
-                words, starts, ends, data = passages[at]
-                lo, hi = max(rest["lo"][at], 0), min(rest["hi"][at], len(words))
-                score, first, last = align(item, words[lo:hi])
-                text = data[starts[lo + first] : ends[lo + last]].tobytes().decode() if last >= first else ""
-                out.append(
-                    (rest["id"][at], rest["text_hash"][at], rest["item_id"][at], score / (MATCH * len(item)),
-                     rest["first_word"][at] + lo + first, last - first + 1, text)
-                )
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+def _most(item: np.ndarray, passage: np.ndarray) -> int:
+    """No alignment scores more: runs of matches are parted by an edit each, so edits + 1 >= matches - pairs kept."""
+    matches = int(np.isin(item, passage).sum())
+    pairs = [x[:-1] * np.uint64(3) + mix(x[1:]) for x in (item, passage)]
+    return min(MATCH * matches, matches + int(np.isin(*pairs).sum()) + 1)
+
+
+def _scores(threshold: float):
+    """Rows (id, text hash, item, first word, passage, item text, first and last place to look at) to alignments that
+    may reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "text_hash", "item_id", "score", "first_word", "n_words", "passage"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            out: list[tuple] = []
+            passages = [None] * batch.num_rows
+            for chunk in chunks(batch.column(4), space=_BETWEEN):
+                hashes = chunk.hashes(lower=True)
+                for row in range(chunk.rows):
+                    lo, hi = chunk.words[row], chunk.words[row + 1]
+                    passages[chunk.first + row] = (hashes[lo:hi], chunk.starts[lo:hi], chunk.ends[lo:hi], chunk.data)
+            rest = {n: batch.column(n).to_pylist() for n in ("id", "text_hash", "item_id", "first_word", "lo", "hi")}
+            for chunk in chunks(batch.column(5), space=_BETWEEN):
+                hashes = chunk.hashes(lower=True)
+                for row in range(chunk.rows):
+                    at = chunk.first + row
+                    item = hashes[chunk.words[row] : chunk.words[row + 1]]
+                    words, starts, ends, data = passages[at]
+                    lo, hi = max(rest["lo"][at], 0), min(rest["hi"][at], len(words))
+                    if _most(item, words[lo:hi]) / (MATCH * len(item)) < threshold:
+                        continue
+                    score, first, last = align(item, words[lo:hi])
+                    text = data[starts[lo + first] : ends[lo + last]].tobytes().decode() if last >= first else ""
+                    out.append(
+                        (rest["id"][at], rest["text_hash"][at], rest["item_id"][at], score / (MATCH * len(item)),
+                         rest["first_word"][at] + lo + first, last - first + 1, text)
+                    )
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return run
 
 
 def benchmark_matches(
@@ -164,10 +175,12 @@ def benchmark_matches(
 
     Words are runs of letters, digits and non-ASCII characters, A-Z read as a-z. The score is that of the best local
     alignment (match 2, other word -1, gap -1) over what the item has against itself; matches reach ``threshold``.
-    Seeds: of every two neighbouring 3-grams of an item, the one that fewer documents hold, counted over the whole
-    corpus. Two narrow passes read the documents (counts, then passages around seeds); only passages are shuffled.
-    Both use a filter of fixed size, and an exact join follows. There is no cap on frequent seeds, so an item that
-    leaked into a third of the corpus is found there.
+    Seeds: every 3-gram of an item that some document holds. A text is aligned with every item of which three words in
+    a row survive in it, over all that an alignment that reaches ``threshold`` can cover. A copy without such words
+    scores 0.75 + 1 / (2 * words of the item) at most (with every third word replaced, 0.5) and is
+    not found. Two narrow passes read the documents (n-grams held, then passages around seeds); only passages are
+    shuffled. Both use a filter of fixed size, and an exact join follows. There is no cap on frequent seeds, so an item
+    that leaked into a third of the corpus is found there.
 
     Null and empty texts match nothing, nor do items of fewer than three words. Rows with a null id keep it;
     ``text_hash`` (xxhash64) tells them apart. Repeated rows and repeated items give one match. Other columns are
@@ -180,24 +193,21 @@ def benchmark_matches(
     grams = stored(tests.mapInArrow(_item_grams, "item_id long, item_at long, gram long, item_words long"), "grams")
     longest = grams.agg(F.max("item_words")).first()[0] or 0
 
-    counted = source.select("text").mapInArrow(_frequencies(_filter(grams)), "gram long, docs long")
-    docs_of = counted.groupBy("gram").agg(F.sum("docs").alias("docs"))
-    rare = grams.join(docs_of, "gram", "left").fillna(0, ["docs"])
-    rarest = rare.groupBy("item_id", "item_words", F.floor(F.col("item_at") / BLOCK).alias("block")).agg(
-        F.min(F.struct("docs", "gram", "item_at")).alias("seed")
-    )
-    seeds = stored(rarest.select("item_id", "item_words", F.col("seed.gram").alias("gram"), F.col("seed.item_at").alias("item_at")), "seeds")
+    held = source.select("text").mapInArrow(_held(_filter(grams)), "gram long").distinct()
+    seeds = stored(grams.join(held, "gram", "left_semi"), "seeds")
+    near = F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds
 
+    spare = 2 * max(1 - threshold, 0)  # words for each of the item's that an alignment may insert and reach the threshold
     passages = source.mapInArrow(
-        _passages(_filter(seeds), longest + GRAM),
+        _passages(_filter(seeds), longest + math.ceil(spare * longest) + GRAM),
         "id long, text_hash long, first_word long, passage string, at array<long>, gram array<long>",
     )
     passages = stored(passages.withColumn("passage_id", F.monotonically_increasing_id()), "passages")
     hits = passages.select("passage_id", F.explode(F.arrays_zip("at", "gram")).alias("hit"))
     hits = hits.select("passage_id", F.col("hit.at").alias("at"), F.col("hit.gram").alias("gram"))
-    slack = F.col("item_words") / 2 + GRAM  # words that may be inserted or left out on either side
+    slack = F.ceil(F.col("item_words") * spare) + GRAM
     spans = (
-        hits.join(seeds, "gram")
+        hits.join(near, "gram")
         .groupBy("passage_id", "item_id")
         .agg(
             F.min(F.col("at") - F.col("item_at") - slack).cast("long").alias("lo"),
@@ -206,7 +216,7 @@ def benchmark_matches(
     )
     rows = spans.join(passages.drop("at", "gram"), "passage_id").join(tests, "item_id")
     scored = rows.select("id", "text_hash", "item_id", "first_word", "passage", "item", "lo", "hi").mapInArrow(
-        _scores, "id long, text_hash long, item_id long, score double, first_word long, n_words long, passage string"
+        _scores(threshold), "id long, text_hash long, item_id long, score double, first_word long, n_words long, passage string"
     )
     best = scored.where(F.col("score") >= threshold).groupBy("id", "text_hash", "item_id")
     order = F.struct("score", (-F.col("first_word")).alias("first"), "n_words", "passage")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from costloom.llm.decontamination import align, benchmark_matches, decontaminated
+from costloom.llm.decontamination import _most, align, benchmark_matches, decontaminated
 
 
 def smith_waterman(a, b):
@@ -24,6 +24,12 @@ def test_alignment_like_brute_force(item, passage):
         assert smith_waterman(item, passage[first : last + 1]) == score
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=12), st.lists(st.integers(0, 6), max_size=25))
+def test_no_alignment_scores_more_than_its_bound(item, passage):
+    assert _most(np.array(item, np.uint64), np.array(passage, np.uint64)) >= smith_waterman(item, passage)
+
+
 def words(rng, n):
     return ["".join(rng.choices("abcdefghij", k=rng.randint(3, 6))) for _ in range(n)]
 
@@ -68,6 +74,24 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
     assert sorted(str(i) for i in kept) == sorted(str(i) for i, t in rows + rows[:3] if i not in leaks or t == "clean text of nobody")
 
 
+def test_copies_with_broken_grams_are_found(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(words(rng, n))) for i, n in enumerate([20, 30, 38] * 8)]
+    rows = []
+    for i, text in items:
+        item = text.split(" ")
+        first = i // 3 % 4
+        rows.append((i, " ".join(words(rng, 40) + [w if k % 4 != first else words(rng, 1)[0] for k, w in enumerate(item)] + words(rng, 40))))
+        # three words survive at an odd place at the end; before them one word is put in after each
+        rows.append((100 + i, " ".join(words(rng, 40) + [x for w in item[:-3] for x in (w, words(rng, 1)[0])] + item[-3:] + words(rng, 40))))
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["id"], r["item_id"]): r["score"] for r in benchmark_matches(docs, tests).collect()}
+    by_item = dict(items)
+    exact = {(i, i % 100): smith_waterman(by_item[i % 100].split(), t.split()) / (2 * len(by_item[i % 100].split())) for i, t in rows}
+    assert min(exact[i, i] for i in by_item) > 0.6 and min(exact.values()) >= 0.5
+    assert found == exact
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text of a document")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "some text of an item")], "item_id long, text string")
