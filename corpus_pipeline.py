@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costloom.llm.decontamination import decontaminated
 from costloom.llm.lines import without_repeated_lines
-from costloom.llm.mixing import mixed
+from costloom.llm.mixing import domain_of, mixed
 from costloom.llm.near_duplicates import near_duplicates
 from costloom.llm.quality import quality_rules
 from costloom.llm.storage import fresh, stored, table
@@ -54,9 +54,26 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes at least once, with memberships, rate and number of copies."""
-    (copies,) = fresh(docs, "copies")
-    return mixed(docs, table(spark, sf_dir, "labels"), TARGETS).where(F.col(copies) >= 1)
+    """Documents that the mix takes at least once, with memberships, rate and number of copies.
+
+    Only poor and toxic documents go by a rate below 1: one that is more likely clean than poor and than toxic, or that
+    is labelled clean and nothing else, has rate 1 and one copy at least.
+    """
+    labels = table(spark, sf_dir, "labels")
+    p_clean, p_poor, p_toxic, rate, copies, key, marked = fresh(docs, "p_clean", "p_poor", "p_toxic", "rate", "copies", "label_id", "labelled")
+    rows = mixed(docs, labels, TARGETS)
+    low = F.col(rate) < 1
+    sure = F.col(p_clean) >= F.greatest(p_poor, p_toxic)
+    raised = {rate: F.greatest(rate, F.lit(1.0)), copies: F.greatest(copies, F.lit(1).cast("long"))}
+    domains = labels.select(F.col("doc_id").cast("long").alias(key), domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    clean = domains.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("domain").alias("least"), F.max("domain").alias("most"))
+    clean = stored(clean.where("least = 'clean' and most = 'clean'").select(key, F.lit(True).alias(marked)), "labelled-clean")
+    if clean.count() <= BROADCAST_IDS:
+        clean = F.broadcast(clean)
+    doubtful = rows.where(low & ~sure).join(clean, F.col("doc_id").cast("long") == F.col(key), "left")
+    doubtful = doubtful.withColumns({c: F.when(F.col(marked), value).otherwise(F.col(c)) for c, value in raised.items()})
+    taken = rows.where(~low | sure).withColumns(raised).unionByName(doubtful.select(*(F.col(f"`{c}`") for c in rows.columns)))
+    return taken.where(F.col(copies) >= 1)
 
 
 STAGES = [

@@ -48,6 +48,22 @@ def test_stages_and_their_decisions(spark, tmp_path):
     assert sorted(r["doc_id"] for r in whole.collect()) == sorted(r["doc_id"] for r in last.collect())
 
 
+def test_mixing_keeps_clean_documents(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(80))
+    kinds = ["clean"] * 300 + ["poor"] * 60 + ["odd"] * 20  # odd: labelled clean, written like the poor
+    rows = [(i, text("qxzjk" if k != "clean" else "aeionrst")) for i, k in enumerate(kinds)]
+    marks = [(i, int(k != "poor"), 0) for i, k in enumerate(kinds) if k != "clean" or i % 2]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([*rows, (None, rows[310][1])], "doc_id long, text string")
+    found = corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()
+    rates = {r["doc_id"]: r["rate"] for r in found}
+    assert len(found) == len(rates) and all(r["copies"] >= 1 for r in found)
+    wanted = {i for i, k in enumerate(kinds) if k != "poor"}
+    assert wanted <= set(rates) and min(rates[i] for i in wanted) >= 1
+    assert len(set(rates) - wanted) < 30  # the poor still go by their rate
+
+
 def test_empty_documents(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
