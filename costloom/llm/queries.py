@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costloom.llm import language, mixing, toxicity, warc
+from costloom.llm.alignment import alignment_scores
 from costloom.llm.decontamination import benchmark_matches
 from costloom.llm.lines import repeated_lines
 from costloom.llm.near_duplicates import near_duplicates
@@ -17,6 +18,7 @@ from costloom.llm.url_rules import rules_table, url_verdicts
 from costloom.session import scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 ]
@@ -75,6 +77,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*base, "base_failed", "distance", "kept")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_scores(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, carry=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op12_alignment": op12_alignment,
 }
 
 
