@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm import language, mixing, toxicity, warc
+from costloom.llm import convolution, language, mixing, toxicity, warc
 from costloom.llm.alignment import alignment_scores
 from costloom.llm.decontamination import benchmark_matches
 from costloom.llm.lines import repeated_lines
@@ -81,6 +81,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_scores(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, carry=["doc_id"])
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 5) == 0
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    marks = table(spark, sf_dir, "labels").where((F.crc32(F.col("doc_id").cast("string")) % 5) != 0)
+    return convolution.scored(docs, convolution.learn(docs, marks), carry=["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
     "op12_alignment": op12_alignment,
+    "op13_quality": op13_quality,
 }
 
 
