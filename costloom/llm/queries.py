@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from costloom.llm import convolution, language, mixing, toxicity, warc
 from costloom.llm.alignment import alignment_scores
 from costloom.llm.decontamination import benchmark_matches
+from costloom.llm.dialogues import repaired
 from costloom.llm.lines import repeated_lines
 from costloom.llm.near_duplicates import near_duplicates
 from costloom.llm.quality import quality_rules
@@ -77,6 +78,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*base, "base_failed", "distance", "kept")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults that a hash of conversation and turn chooses; nulls are one space."""
+    blank = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    rows = turns.withColumn("fault", F.crc32(name) % 20).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+    return rows.drop("copy")
+
+
+def op11_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repaired(damaged(turns)).report.withColumnRenamed("id", "conv_id")
+    # Conversations of which the damage leaves no row are answered by zeros.
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    zeros = turns.select("conv_id").distinct().select("conv_id", *(nothing.get(c, F.lit(0).cast("long")).alias(c) for c in found.columns[1:]))
+    rows = [df.select("conv_id", F.lit(rank).alias("rank"), *found.columns[1:]) for rank, df in ((1, found), (0, zeros))]
+    best = rows[0].unionByName(rows[1]).groupBy("conv_id").agg(F.max(F.struct("rank", *found.columns[1:])).alias("r"))
+    return best.select("conv_id", *(F.col(f"r.{c}").alias(c) for c in found.columns[1:]))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_scores(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, carry=["doc_id"])
 
@@ -99,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_dialogues": op11_dialogues,
     "op12_alignment": op12_alignment,
     "op13_quality": op13_quality,
 }
