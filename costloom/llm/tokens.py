@@ -3,22 +3,44 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from costloom.llm.storage import stored
+
 # Fixed value: the pattern that splits text before the merges of the rank files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 STEP = 1024  # lengths in a block of the suffix sums
+# The pattern's look-ahead overflows the stack on a run of about a million blanks, so long runs are encoded apart.
+_LONG_BLANK = re.compile(r"[^\S\x1c-\x1f]{10000,}")
+
+
+def n_tokens(encoding, text: str) -> int:
+    """Number of tokens of a whole text.
+
+    The pattern makes one token run of all blanks but the last, which goes with what follows; at the end of a text it
+    takes all of them. A run begins a new match, because nothing but blanks goes on across it.
+    """
+    total, at = 0, 0
+    for run in _LONG_BLANK.finditer(text):
+        first, last = run.span()
+        split = last if last == len(text) else last - 1
+        total += len(encoding.encode_ordinary(text[at:first])) + len(encoding._encode_single_piece(text[first:split]))
+        at = split
+    return total + len(encoding.encode_ordinary(text[at:]))
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """``n_tokens`` and ``docs``: how many texts have that many tokens. Null and empty texts have none.
 
-    ``vocabulary`` is a file of byte-pair ranks that the driver reads; it travels with the job. Whole texts are encoded;
-    strings that look like special tokens are ordinary text. Each batch sends one row per length.
+    ``vocabulary`` is a file of byte-pair ranks that the driver reads; it travels with the job. Whole texts are encoded,
+    of any length, runs of blanks included; strings that look like special tokens are ordinary text. Repeated rows and
+    equal lengths are counted each, an empty table gives no rows, and no other column is read, so none can clash. Each
+    batch sends one row per length.
     """
     with open(vocabulary, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
@@ -29,7 +51,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str, text_col: str = "text") ->
 
         encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=packed.value, special_tokens={})
         for batch in batches:
-            lengths = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(0).to_pylist()]
+            lengths = [n_tokens(encoding, t) if t else 0 for t in batch.column(0).to_pylist()]
             sizes, n = np.unique(np.array(lengths, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(n.astype(np.int64))], ["n_tokens", "docs"])
 
@@ -43,9 +65,10 @@ def context_limits(lengths: DataFrame) -> DataFrame:
     ``docs`` of that length, ``docs_longer`` (cut by the limit), ``docs_within``, ``tokens_within`` (of uncut texts),
     ``truncated_tokens`` (left when every text is cut at the limit), ``total_tokens`` and ``quantile``, the share of
     documents within. Sums run inside blocks of lengths, then over the blocks, so no task holds all lengths. Between
-    two lengths L < M, a limit X leaves truncated_tokens(L) + (X - L) * docs_longer(L).
+    two lengths L < M, a limit X leaves truncated_tokens(L) + (X - L) * docs_longer(L). The histogram is stored first,
+    because both sums read it.
     """
-    rows = lengths.withColumn("block", F.floor(F.col("n_tokens") / STEP)).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
+    rows = stored(lengths, "lengths").withColumn("block", F.floor(F.col("n_tokens") / STEP)).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     blocks = rows.groupBy("block").agg(F.sum("docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     upward = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

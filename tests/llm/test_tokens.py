@@ -5,7 +5,8 @@ import pytest
 import tiktoken
 
 from costloom.llm.queries import VOCABULARY
-from costloom.llm.tokens import SPLIT, context_limits, encoded_lengths, length_quantiles
+from costloom.llm import tokens
+from costloom.llm.tokens import SPLIT, context_limits, encoded_lengths, length_quantiles, n_tokens
 
 TEXTS = [None, "", "a", "hello world", "hello world", "<|endoftext|>", " \n\t ", "é漢😀" * 50, "x" * 3000, "the cat sat. " * 9000]
 
@@ -51,3 +52,28 @@ def test_sums_across_blocks_and_between_lengths(spark):
 def test_empty_table(spark):
     none = encoded_lengths(spark.createDataFrame([], "text string"), VOCABULARY)
     assert none.count() == 0 and context_limits(none).count() == 0
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    with open(VOCABULARY, "rb") as file:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, file)}
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_runs_of_blanks_apart_like_the_whole_text(encoding, monkeypatch):
+    monkeypatch.setattr(tokens, "_LONG_BLANK", tokens.re.compile(r"[^\S\x1c-\x1f]{3,}"))
+    rng = random.Random(3)
+    parts = ["a", "B1", " ", "    ", "\n", "\t", "\u3000", "\x1c", "\x85", "'s", "!", "é", "\r\n", "the"]
+    for _ in range(1500):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 25)))
+        assert n_tokens(encoding, text) == len(encoding.encode_ordinary(text)), repr(text)
+
+
+def test_very_long_runs_of_blanks(spark, encoding):
+    n = 5_000_000
+    mixed = "x" + "\n\t " * n + "y"
+    texts = ["a" + " " * n + "b", "\n" * n, mixed]
+    found = {r["n_tokens"]: r["docs"] for r in encoded_lengths(spark.createDataFrame([(t,) for t in texts], "text string"), VOCABULARY).collect()}
+    # The vocabulary has single blanks and pairs of line feeds; mixed runs have no longer token either.
+    assert found == {n + 1: 1, n // 2: 1, 3 * n + 1: 1}
