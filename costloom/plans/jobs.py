@@ -13,7 +13,7 @@ from costloom.functions import utc_day
 from costloom.operators import catalog as catalogs
 from costloom.operators import costing, filters, maintenance, quality, reports
 from costloom.session import settle
-from costloom.sources import tables
+from costloom.sources import rollups, tables
 
 
 class NothingFound(LookupError):
@@ -136,6 +136,12 @@ def fetch_prices(
     return stored
 
 
+def roll_up(spark: SparkSession, results_path: str, rollup_path: str, writer: str) -> list[date]:
+    """Bring the stored rollup up to date with what ``writer`` has stored; returns the days that changed."""
+    mine = tables.read(spark, results_path, "results").where(F.col(tables.WRITER) == writer)
+    return rollups.update(mine, rollup_path, writer)
+
+
 def update_rollup(lines: DataFrame, rollup_path: str) -> None:
     """Recompute the daily rollup for the days present in ``lines`` (whole days) and replace just those days."""
     tables.write_days(reports.daily_rollup(lines), rollup_path, "calc_date")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from costloom import constants as K
 from costloom.operators import filters, paging, reports
+from costloom.sources import tables
 
 
 @dataclass
@@ -35,6 +36,14 @@ def results(lines: DataFrame, boq_id: str | None = None, project: str | None = N
     return _listing(chosen, paging.RESULT_ORDER, number, K.RESULT_PAGE_SIZE)
 
 
+def run_results(spark: SparkSession, path: str, boq_id: str, number: int = 1) -> Listing:
+    """The lines of one stored run with their summary, from the folders that the register names alone."""
+    lines = tables.run_lines(spark, path, boq_id)
+    listing = _listing(lines, paging.RESULT_ORDER, number, K.RESULT_PAGE_SIZE)
+    listing.summary = reports.boq_summary_by_id(lines, boq_id)
+    return listing
+
+
 def prices(
     catalog: DataFrame,
     service: str | None = None,

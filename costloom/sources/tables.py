@@ -11,16 +11,20 @@ change; a writer that died leaves a claimed number and nothing else.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from costloom import schemas
 from costloom.functions import utc_day
 from costloom.operators import quality
+from costloom.session import settle
 
 WRITER = "write_id"  # inner partition of the results
+RUN_BUCKET, RUN_BUCKETS = "bucket", 64  # folders of the register of runs
+# Row groups without a run are skipped by its id: by their dictionary, or by a filter where there are too many ids.
+RUN_FILTER = {"parquet.bloom.filter.enabled#boq_id": "true", "parquet.bloom.filter.expected.ndv#boq_id": "100000"}
 DERIVED_DATES = {"specs": "created_at", "results": "calculation_timestamp"}
 
 
@@ -52,13 +56,95 @@ def append(df: DataFrame, path: str, table: str, many_days: bool = False, now: d
 def append_lines(
     lines: DataFrame, path: str, write_id: str, many_days: bool = False, now: datetime | None = None
 ) -> None:
-    """Add result lines of valid resources; lines that ``write_id`` has stored for these days before are replaced.
+    """Add result lines of valid resources; all lines that ``write_id`` has stored before are replaced, on whatever day
+    they lie, also when there are none now.
 
     Such lines are complete by construction. Testing the computed costs for null would calculate them twice.
     """
     rows = lay_out(_declared(lines, "results", now), "results", many_days).withColumn(WRITER, F.lit(write_id))
     day, _ = schemas.LAYOUT["results"]
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, WRITER).parquet(path)
+    spark = lines.sparkSession
+    before = _writer_files(spark, path, write_id)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, WRITER)
+    for option, value in RUN_FILTER.items():
+        writer = writer.option(option, value)
+    writer.parquet(path)
+    after = _writer_files(spark, path, write_id)
+    for folder, names in before.items():  # the write has put other files into the folders of its own days
+        if after.get(folder) == names:
+            _delete(spark, folder)
+            del after[folder]
+    _register(spark, path, write_id, sorted(after))
+
+
+def run_lines(spark: SparkSession, path: str, boq_id: str) -> DataFrame:
+    """The lines of one run. The register names the folders that hold them, so no other folder is listed or opened;
+    inside these, files and row groups without the run are skipped by their filters on ``boq_id``."""
+    root = path.rstrip("/")
+    places = run_register(spark, root, boq_id).collect()  # one row per day and writer of the run
+    schema = _with_day("results").add(WRITER, "string")
+    if not places:
+        return spark.createDataFrame([], schema)
+    folders = sorted({row["folder"] for row in places})
+    rows = spark.read.schema(schema).option("basePath", root).parquet(*(f"{root}/{folder}" for folder in folders))
+    return rows.where(F.col("boq_id") == boq_id)
+
+
+def run_register(spark: SparkSession, path: str, boq_id: str | None = None) -> DataFrame:
+    """``boq_id``, ``folder`` and ``lines`` of all runs, or of one, which reads a single bucket."""
+    place = f"{path.rstrip('/')}_runs"
+    fields = f"boq_id string, folder string, lines bigint, {RUN_BUCKET} int, {WRITER} string"
+    if not exists(spark, place):
+        return spark.createDataFrame([], fields)
+    rows = spark.read.schema(fields).parquet(place)
+    if boq_id is None:
+        return rows
+    return rows.where((F.col(RUN_BUCKET) == _bucket(F.lit(boq_id))) & (F.col("boq_id") == boq_id))
+
+
+def _bucket(boq_id: Column) -> Column:
+    return F.pmod(F.xxhash64(boq_id), F.lit(RUN_BUCKETS)).cast("int")
+
+
+def _register(spark: SparkSession, path: str, write_id: str, folders: list[str]) -> None:
+    """Note which runs lie in a writer's folders, in place of what was noted for this writer before."""
+    root = path.rstrip("/")
+    place = f"{root}_runs"
+    files, base = _files(spark, place)
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(write_id)
+    old = files.globStatus(_child(spark, base, f"{RUN_BUCKET}=*/{WRITER}={name}")) if files.exists(base) else []
+    for entry in old or []:
+        files.delete(entry.getPath(), True)
+    if not folders:
+        return
+    day, _ = schemas.LAYOUT["results"]
+    rows = spark.read.schema(_with_day("results").add(WRITER, "string")).option("basePath", root).parquet(*folders)
+    folder = F.regexp_extract(F.input_file_name(), f"({day}=[^/]*/{WRITER}=[^/]*)/[^/]*$", 1)
+    # A file's name is given as an address, in which the marks of a folder's name are escaped once more.
+    folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    runs = rows.select("boq_id", folder.alias("folder")).groupBy("boq_id", "folder").agg(F.count(F.lit(1)).alias("lines"))
+    runs = runs.withColumns({RUN_BUCKET: _bucket(F.col("boq_id")), WRITER: F.lit(write_id)})
+    runs.hint("rebalance", RUN_BUCKET).write.mode("append").partitionBy(RUN_BUCKET, WRITER).parquet(place)
+
+
+def _writer_files(spark: SparkSession, path: str, write_id: str) -> dict[str, set[str]]:
+    """The names of the files in each folder of a writer."""
+    day, _ = schemas.LAYOUT["results"]
+    files, root = _files(spark, path)
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(write_id)
+    found = files.globStatus(_child(spark, root, f"{day}=*/{WRITER}={name}")) if files.exists(root) else []
+    folders = [entry.getPath() for entry in found or []]
+    return {str(f.toString()): {entry.getPath().getName() for entry in files.listStatus(f)} for f in folders}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    files, root = _files(spark, folder)
+    files.delete(root, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, root = _files(spark, path)
+    return files.exists(root)
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -172,6 +258,16 @@ def write_days(df: DataFrame, path: str, day: str) -> None:
     )
 
 
+def replace_days(df: DataFrame, path: str, day: str, days: Sequence[date]) -> None:
+    """Replace the given days of a table; a day without rows in ``df`` goes."""
+    spark, df = df.sparkSession, settle(df)
+    present = {row[0] for row in df.select(day).distinct().collect()}  # a row for each day
+    if present:
+        write_days(df, path, day)
+    for gone in set(days) - present:
+        _delete(spark, f"{path.rstrip('/')}/{day}={gone.isoformat()}")
+
+
 def _declared(df: DataFrame, table: str, now: datetime | None) -> DataFrame:
     return quality.apply_defaults(df, table, now or utc_now()).select(schemas.SCHEMAS[table].names)
 

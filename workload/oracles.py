@@ -211,6 +211,9 @@ DISCOUNT = MICROS.format("total_discount_usd")
 NANOS_AVG = "cast(sum(cast(round(price_per_unit * 1e9) as bigint)) as double) / 1e9 / count(price_per_unit)"
 RECENT = "calc_date >= cast(date '2001-08-01' - interval 30 day as date)"
 
+# What two writers have stored after the second ran again.
+WRITTEN = "not (cast(substr(boq_id, 5) as bigint) % 2 = 1 and cast(substr(resource_id, 5) as bigint) % 2 = 1)"
+
 MONTH = "cast(date_trunc('month', {0}) as date)"
 
 SPEC_COLUMNS = ", ".join(registry.SPEC_COLUMNS)
@@ -408,6 +411,25 @@ def oracle_sql() -> dict[str, str]:
             f"count(*) as total_resources, {COST} as total_cost from lines "
             "where calc_date >= cast(date '2001-08-01' - interval 365 day as date) group by 1"
         ),
+        "rollup_updates": lines(
+            "select cast(calc_date as varchar) as calc_date, project_id, region, pricing_model, "
+            "count(*) as line_count, cast(sum(cast(round(total_cost_usd * 1e6) as bigint)) as bigint) as cost_micros, "
+            "cast(sum(cast(round(total_discount_usd * 1e6) as bigint)) as bigint) as discount_micros "
+            f"from lines where {WRITTEN} group by all"
+        ),
+        "rollup_history": lines(
+            "select cast(calc_date as varchar) as date, count(distinct boq_id) as calculations, "
+            f"count(*) as total_resources, {COST} as total_cost from lines where {WRITTEN} "
+            "and calc_date >= cast(date '2001-08-01' - interval 365 day as date) group by 1 order by 1 desc"
+        ),
+        "rollup_stats": lines(
+            f"select count(distinct boq_id) as total_calculations, {COST} as total_cost, "
+            f"{COST} / count(total_cost_usd) as avg_cost, count(*) as total_boq_items from lines where {WRITTEN} "
+            "and calc_date >= cast(date '2001-08-01' - interval 365 day as date)"
+        ),
+        "stored_run": lines(
+            f"select {LINE_COLUMNS}, cast(calc_date as varchar) as calc_date from lines where boq_id = 'boq-5'"
+        ),
         "today_by_project": lines(
             f"select project_id, {COST} as total_cost, count(*) as resource_count from lines "
             "where calc_date = date '2001-08-01' group by project_id order by total_cost desc, project_id"

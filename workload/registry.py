@@ -16,8 +16,8 @@ from costloom.functions import display, rates
 from costloom.operators import catalog as catalogs
 from costloom.operators import costing, filters, maintenance, paging, pricing, quality, reports, requests
 from costloom.plans import jobs, listings
-from costloom.session import scratch_path
-from costloom.sources import tables
+from costloom.session import scratch_path, settle
+from costloom.sources import rollups, tables
 from costloom.streaming import jobs as streams
 from workload import inputs
 from workload.inputs import AS_OF, BOQ_ID, NOW, REFRESH_DAY, REFRESH_TIME, catalog, feed, lines, specs
@@ -500,14 +500,60 @@ def results_pruned(spark, sf_dir):
 
 def _stored_history(spark, sf_dir, days):
     path = scratch_path(spark, "results")
-    result = costing.boq_lines(
-        specs(spark, sf_dir), catalog(spark, sf_dir), F.col("boq_id"), F.col("created_at"), "tester"
-    )
-    tables.append_lines(result, path, "all", many_days=True)
+    tables.append_lines(_all_lines(spark, sf_dir), path, "all", many_days=True)
     stored = tables.read(spark, path, "results")
     return reports.cost_history(stored, AS_OF, days).select(day("date"), "calculations", "total_resources", "total_cost")
 
 
+def _all_lines(spark, sf_dir):
+    return costing.boq_lines(specs(spark, sf_dir), catalog(spark, sf_dir), F.col("boq_id"), F.col("created_at"), "tester")
+
+
+def _kept_rollup(spark, sf_dir):
+    """A rollup of all lines, which two writers bring, each half of the runs; then the second runs again and has fewer:
+    only lines of resources with an even number."""
+    rollup = scratch_path(spark, "rollup")
+    number = lambda name: F.substring(name, 5, 20).cast("bigint")
+    whole = settle(reports.with_calc_date(_all_lines(spark, sf_dir)))
+    of = F.pmod(number("boq_id"), F.lit(2))
+    for writer in range(2):
+        rollups.update(whole.where(of == writer), rollup, f"w{writer}")
+    rollups.update(whole.where((of == 1) & (number("resource_id") % 2 == 0)), rollup, "w1")
+    return rollup
+
+
+@query
+def rollup_updates(spark, sf_dir):
+    """The stored daily rollup after two writers, of which one ran again."""
+    rollup = _kept_rollup(spark, sf_dir)
+    return rollups.by_group(spark, rollup).select(
+        day("calc_date"), "project_id", "region", "pricing_model", "line_count",
+        F.col("cost_micros").cast("bigint"), F.col("discount_micros").cast("bigint"),
+    )
+
+
+@query
+def rollup_history(spark, sf_dir):
+    """The daily history of a year from stored sums and bitmaps of runs."""
+    rollup = _kept_rollup(spark, sf_dir)
+    return rollups.history(spark, rollup, AS_OF, 365).select(day("date"), "calculations", "total_resources", "total_cost")
+
+
+@query
+def rollup_stats(spark, sf_dir):
+    """Key figures of a year from stored sums and merged bitmaps."""
+    rollup = _kept_rollup(spark, sf_dir)
+    return rollups.result_stats(spark, rollup, AS_OF, 365)
+
+
+@query
+def stored_run(spark, sf_dir):
+    """The lines of one run in a table of many, found by the register."""
+    path = scratch_path(spark, "results")
+    tables.append_lines(_all_lines(spark, sf_dir), path, "all", many_days=True)
+    return tables.run_lines(spark, path, BOQ_ID).select(*LINE_COLUMNS, day("calc_date"))
+
+
 @query
 def table_layout(spark, sf_dir):
     """All resources, stored by the day of their creation and read back whole."""
