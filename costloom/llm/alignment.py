@@ -15,7 +15,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from costloom.llm.storage import fresh, stored
-from costloom.llm.words import mix, sum_hash
 from costloom.operators.joins import lookup
 
-PIECE_BYTES = 4 << 20  # text worked on at once inside a batch
-KEPT = 1 << 20  # words, and windows, that a Python worker remembers before it starts anew
+PIECE_BYTES = 1 << 20  # text worked on at once inside a batch
+KEPT = 400_000  # words that a Python worker remembers, with their windows, before it starts anew
 PAIR_BOUNDS = {"max_rows": 3_000_000, "max_bytes": 192 << 20}  # a larger table of pairs is joined by a shuffle
 
 # A word ends where a space follows something that is not white space. Neither tokenizer has a token across that place.
@@ -47,10 +46,10 @@ class Pool:
     """Runs of integers, added one after the other and gathered by number."""
 
     def __init__(self) -> None:
-        self.values, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.values, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values = np.concatenate([self.values, values])
+        self.values = np.concatenate([self.values, values.astype(np.int32)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
 
     def sizes(self, numbers: np.ndarray) -> np.ndarray:
@@ -60,11 +59,11 @@ class Pool:
         """The runs one after the other, and the size of each."""
         sizes = self.sizes(numbers)
         first = np.repeat(self.ends[numbers] - (np.cumsum(sizes) - sizes), sizes)
-        return self.values[first + np.arange(len(first))], sizes
+        return self.values[first + np.arange(len(first))].astype(np.int64), sizes
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes of their tokens, and the words already encoded."""
+    """Both tokenizers with the bytes of their tokens."""
 
     def __init__(self, byte_level: str, pieces: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,7 +84,8 @@ class Tokenizers:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace("▁", " ").encode())
         names = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         # A token as it stands in the written groups: inside one, at the end of its first half, at its end.
-        self.written = [[f"{i}{mark}" for i in range(max(len(self.a_bytes), len(names)))] for mark in ",|;"]
+        self.n_ids = max(len(self.a_bytes), len(names))
+        self.written = np.array([f"{i}{mark}" for mark in ",|;" for i in range(self.n_ids)], object)
         # Words are encoded apart only if no piece goes on after a space, so that none could cross a word's end.
         self.by_words = "▁" in names and not any("▁" in name.lstrip("▁") for name in names)
         self.blank = names.index("▁") if self.by_words else 0
@@ -93,11 +93,6 @@ class Tokenizers:
         self.a_size, self.b_size = np.array(self.a_sizes, np.int64), np.array(self.b_sizes, np.int64)
         self.a_spaced = np.array([b[:1] == b" " for b in self.a_bytes])
         self.b_spaced = np.array([name[:1] == "▁" for name in names])
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.a, self.b, self.sound = Pool(), Pool(), np.zeros(0, bool)
 
     def split(self, text: str) -> list[str]:
         """Words of a text, each without the space before it."""
@@ -107,86 +102,115 @@ class Tokenizers:
             return text.split(" ")
         return [word[1:] for word in _WORD_END.split(" " + text)]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of all texts, and how many each text has."""
-        if len(self.words) > KEPT:
-            self.forget()
-        split = [self.split(text) for text in texts]
-        flat = list(chain.from_iterable(split))
-        numbers = list(map(self.words.get, flat))
-        if None in numbers:
-            self._learn(list(dict.fromkeys(word for word, known in zip(flat, numbers) if known is None)))
-            numbers = list(map(self.words.get, flat))
-        return np.array(numbers, np.int64), np.array(list(map(len, split)), np.int64)
-
-    def _learn(self, words: list[str]) -> None:
+    def encode(self, words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For both tokenizers, the ids of all words one after the other and their numbers; and which words both give
+        back byte by byte."""
         wanted = [b" " + word.encode() for word in words]
         sizes = np.array(list(map(len, wanted)), np.int64)
-        a = self._first(words, sizes)
+        whole, sound, out = b"".join(wanted), np.ones(len(words), bool), []
         # A text that ends in one space leaves a word without a character; the library gives no prefix to that.
-        b = [ids or [self.blank] for ids in self.second.encode(words, num_threads=1)]
-        whole = b"".join(wanted)
-        sound = np.ones(len(words), bool)
-        for ids, table, lengths, pool in ((a, self.a_bytes, self.a_size, self.a), (b, self.b_bytes, self.b_size, self.b)):
-            n, flat = np.array(list(map(len, ids)), np.int64), np.array(list(chain.from_iterable(ids)), np.int64)
-            pool.add(flat, n)
-            owner = np.repeat(np.arange(len(words)), n)
-            if not (np.bincount(owner, lengths[flat], len(words)) == sizes).all() or b"".join([table[i] for i in flat]) != whole:
-                sound &= [b"".join([table[i] for i in some]) == text for some, text in zip(ids, wanted)]
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
-        self.sound = np.concatenate([self.sound, sound])
-
-    def _first(self, words: list[str], sizes: np.ndarray, together: int = 64) -> list[list[int]]:
+        second = [ids or [self.blank] for ids in self.second.encode(words, num_threads=1)]
+        flat_second = np.array(list(chain.from_iterable(second)), np.int64), np.array(list(map(len, second)), np.int64)
+        for (flat, n), table, lengths in ((self._first(words, sizes), self.a_bytes, self.a_size), (flat_second, self.b_bytes, self.b_size)):
+            out.append((flat, n))
+            ends = np.cumsum(lengths[flat])[np.cumsum(n) - 1]
+            if not (ends == np.cumsum(sizes)).all() or b"".join([table[i] for i in flat.tolist()]) != whole:
+                parts = np.split(flat, np.cumsum(n)[:-1])
+                sound &= [b"".join([table[i] for i in part.tolist()]) == text for part, text in zip(parts, wanted)]
+        return out, sound
+
+    def _first(self, words: list[str], sizes: np.ndarray, together: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the first tokenizer. Words that end in no blank are encoded in one string, which is quicker."""
-        found: list[list[int] | None] = [None] * len(words)
         plain = [i for i, word in enumerate(words) if self.by_words and word and not word[-1:].isspace()]
         runs = [plain[at : at + together] for at in range(0, len(plain), together)]
-        texts = [" " + " ".join([words[i] for i in run]) for run in runs]
-        for run, coded in zip(runs, self.first.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = coded.ids
-            ends, cuts = np.cumsum(self.a_size[ids]), np.cumsum(sizes[run])
-            places = np.minimum(np.searchsorted(ends, cuts), len(ends) - 1)
-            if (ends[places] == cuts).all():
-                edges = [0, *(places + 1).tolist()]
-                for i, first, last in zip(run, edges, edges[1:]):
-                    found[i] = ids[first:last]
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = self.first.encode(" " + words[i], add_special_tokens=False).ids
-        return found
+        coded = [c.ids for c in self.first.encode_batch_fast([" " + " ".join([words[i] for i in run]) for run in runs], add_special_tokens=False)]
+        # Words of the joined strings in one row: their ends must be ends of tokens, else the word is encoded apart.
+        ids = np.array(list(chain.from_iterable(coded)), np.int64)
+        ends, cuts = np.cumsum(self.a_size[ids]), np.cumsum(sizes[plain])
+        places = np.searchsorted(ends, cuts)
+        if len(plain) and (places[-1] >= len(ends) or (ends[places] != cuts).any()):
+            plain, ids, places = [], ids[:0], places[:0]
+        others = sorted(set(range(len(words))) - set(plain))
+        apart = [self.first.encode(" " + words[i], add_special_tokens=False).ids for i in others]
+        found = Pool()
+        found.add(ids, np.diff(places, prepend=-1))
+        found.add(np.array(list(chain.from_iterable(apart)), np.int64), np.array(list(map(len, apart)), np.int64))
+        order = np.empty(len(words), np.int64)
+        order[[*plain, *others]] = np.arange(len(words))
+        return found.take(order)
 
 
 @dataclass
 class Aligned:
-    """The alignment of some texts: windows one after the other, and per text the sizes."""
+    """The alignment of some texts: words and windows one after the other, and per text the sizes."""
 
+    words: np.ndarray  # number of each word
     windows: np.ndarray  # number of each window
     n_windows: np.ndarray  # of each text
     n_a: np.ndarray
     n_b: np.ndarray
 
 
+_APART = b"\xff" * 4  # between the ids of both tokenizers in the name of a window; no id
+
+
 @dataclass
 class Aligner:
     tokens: Tokenizers
-    windows: dict[tuple[bytes, bytes], int] = field(init=False)  # by the ids of both tokenizers
 
     def __post_init__(self) -> None:
         self.forget()
 
     def forget(self) -> None:
-        self.windows = {}
+        self.words: dict[str, int] = {}
+        self.a, self.b, self.windows_of, self.sound = Pool(), Pool(), Pool(), np.zeros(0, bool)  # by word
+        self.windows: dict[bytes, int] = {}  # by the ids of both tokenizers
+        self.links, self.group_sizes, self.texts = Pool(), Pool(), []  # by window
         self.pair_number: dict[int, int] = {}  # by (id of the first << 32) + id of the second
-        self.links, self.group_sizes, self.texts = Pool(), Pool(), []
 
-    def _learn(self, keys: list[tuple[bytes, bytes]]) -> None:
+    def _meet(self, words: list[str]) -> None:
+        """Tokenise new words and find their windows.
+
+        A document's tokens are those of its words. A word's end is an end of both tokenizers, and the next word begins
+        with a space in both, so it is an anchor; further anchors lie inside words that hold runs of blanks.
+        """
+        ((a, n_a), (b, n_b)), sound = self.tokens.encode(words)
+        self.a.add(a, n_a)
+        self.b.add(b, n_b)
+        tokens, word = self.tokens, np.arange(len(words))
+        a, b = a[sound[np.repeat(word, n_a)]], b[sound[np.repeat(word, n_b)]]
+        # Both cover the same bytes of every sound word, so places count through all of them.
+        a_ends, b_ends = np.cumsum(tokens.a_size[a]), np.cumsum(tokens.b_size[b])
+        i = np.flatnonzero(np.isin(a_ends, b_ends, assume_unique=True))
+        j = np.searchsorted(b_ends, a_ends[i])
+        anchor = np.append(tokens.a_spaced[a], True)[i + 1] & np.append(tokens.b_spaced[b], True)[j + 1]
+        last = np.cumsum(n_a * sound)
+        anchor |= np.isin(i + 1, last)
+        i, j = i[anchor] + 1, j[anchor] + 1
+        a_ids, b_ids = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+        edges = [[0, *(4 * at).tolist()] for at in (i, j)]
+        keys = [a_ids[p:q] + _APART + b_ids[r:t] for p, q, r, t in zip(edges[0], edges[0][1:], edges[1], edges[1][1:])]
+        found = list(map(self.windows.get, keys))
+        if None in found:
+            self._learn(list(dict.fromkeys(key for key, known in zip(keys, found) if known is None)))
+            found = list(map(self.windows.get, keys))
+        n = np.bincount(np.flatnonzero(sound)[np.searchsorted(last[sound], i)], minlength=len(words))
+        self.windows_of.add(np.array(found, np.int64), n)
+        self.sound = np.concatenate([self.sound, sound])
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+
+    def _learn(self, keys: list[bytes]) -> None:
         """Align new windows: their groups, and a link for each pair of tokens that share a byte.
 
         Both sides of a window cover the same bytes, so places count through all of them.
         """
         tokens = self.tokens
-        a, b = (np.frombuffer(b"".join(key[k] for key in keys), "<u4").astype(np.int64) for k in (0, 1))
-        n_a = np.array([len(key[0]) // 4 for key in keys], np.int64)
+        ids = np.frombuffer(b"".join([key + _APART for key in keys]), "<u4").astype(np.int64)
+        apart = np.flatnonzero(ids == 0xFFFFFFFF)
+        first, second = apart[::2], apart[1::2]
+        n_a, n_b = first - np.append(0, second[:-1] + 1), second - first - 1
+        of_a = np.repeat(np.tile([True, False], len(keys)), np.stack([n_a + 1, n_b + 1], axis=1).ravel())
+        a, b = ids[of_a & (ids != 0xFFFFFFFF)], ids[~of_a & (ids != 0xFFFFFFFF)]
         a_ends, b_ends = np.cumsum(tokens.a_size[a]), np.cumsum(tokens.b_size[b])
         window_ends = a_ends[np.cumsum(n_a) - 1]
         # Between two neighbouring ends of either tokenizer lies exactly one overlapping pair.
@@ -201,60 +225,28 @@ class Aligner:
         # All tokens as they are written: group by group, those of the first tokenizer before those of the second.
         group = np.concatenate([np.repeat(np.arange(len(sizes)), sizes[:, k]) for k in (0, 1)])
         order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), group))
-        marks = np.concatenate([a_last * 1, b_last * 2])[order].tolist()
-        written = [self.tokens.written[mark][i] for mark, i in zip(marks, np.concatenate([a, b])[order].tolist())]
-        edges = [0, *np.cumsum(n_a + [len(key[1]) // 4 for key in keys]).tolist()]
+        marks = np.concatenate([a_last * 1, b_last * 2])[order]
+        written = tokens.written[marks * tokens.n_ids + np.concatenate([a, b])[order]].tolist()
+        edges = [0, *np.cumsum(n_a + n_b).tolist()]
         self.texts += ["".join(written[first:last]) for first, last in zip(edges, edges[1:])]
         self.windows.update(zip(keys, range(len(self.windows), len(self.windows) + len(keys))))
 
-    def align(self, texts: list[str]) -> tuple[Aligned, np.ndarray, np.ndarray]:
-        """Align texts; also the ids of both tokenizers, one text after the other."""
-        if len(self.windows) > KEPT:
+    def align(self, texts: list[str]) -> Aligned:
+        if len(self.words) > KEPT:
             self.forget()
-        tokens = self.tokens
-        numbers, n_words = tokens.encode(texts)
-        owner = np.repeat(np.arange(len(texts)), n_words)
-        good = np.bincount(owner, ~tokens.sound[numbers], len(texts)) == 0
-        good &= np.array([bool(text) for text in texts], bool)
-        kept = good[owner]
+        split = [self.tokens.split(text) if text else [] for text in texts]
+        flat = list(chain.from_iterable(split))
+        numbers = list(map(self.words.get, flat))
+        if None in numbers:
+            self._meet([word for word in dict.fromkeys(flat) if word not in self.words])
+            numbers = list(map(self.words.get, flat))
+        numbers, owner = np.array(numbers, np.int64), np.repeat(np.arange(len(texts)), list(map(len, split)))
+        # One word that is not given back leaves a text without tokens.
+        kept = (np.bincount(owner, ~self.sound[numbers], len(texts)) == 0)[owner]
         numbers, owner = numbers[kept], owner[kept]
-        (a, a_sizes), (b, b_sizes) = tokens.a.take(numbers), tokens.b.take(numbers)
-        n_a = np.bincount(owner, a_sizes, len(texts)).astype(np.int64)
-        n_b = np.bincount(owner, b_sizes, len(texts)).astype(np.int64)
-        # Both tokenizers cover the same bytes of every text, so places count through all texts.
-        a_ends, b_ends = np.cumsum(tokens.a_size[a]), np.cumsum(tokens.b_size[b])
-        place = np.searchsorted(b_ends, a_ends)
-        i = np.flatnonzero(b_ends[place] == a_ends) if len(place) else place
-        j = place[i]
-        spaced = np.append(tokens.a_spaced[a], True)[i + 1] & np.append(tokens.b_spaced[b], True)[j + 1]
-        spaced |= np.isin(i + 1, np.cumsum(n_a), assume_unique=False)
-        i, j = i[spaced] + 1, j[spaced] + 1
-        text_of = np.searchsorted(np.cumsum(n_a), i)
-        return Aligned(self._numbers(a, b, i, j), np.bincount(text_of, minlength=len(texts)), n_a, n_b), a, b
-
-    def _numbers(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Numbers of the windows that end before ``i`` and ``j``. Equal windows are found by hashes, confirmed id by id
-        and looked up once."""
-        if not len(i):
-            return np.zeros(0, np.int64)
-        i0, j0 = np.append(0, i[:-1]), np.append(0, j[:-1])
-        hashes = mix(sum_hash(a.astype(np.uint64) + np.uint64(1), i0, i)) + sum_hash(b.astype(np.uint64) + np.uint64(1), j0, j)
-        _, first, like = np.unique(hashes, return_index=True, return_inverse=True)
-        same = _equal_runs(a, i0, i, first[like]) & _equal_runs(b, j0, j, first[like])
-        a_ids, b_ids = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-
-        def look_up(at: np.ndarray) -> np.ndarray:
-            edges = [(4 * x[at]).tolist() for x in (i0, i, j0, j)]
-            keys = [(a_ids[p:q], b_ids[r:t]) for p, q, r, t in zip(*edges)]
-            found = list(map(self.windows.get, keys))
-            if None in found:
-                self._learn(list(dict.fromkeys(key for key, known in zip(keys, found) if known is None)))
-                found = list(map(self.windows.get, keys))
-            return np.array(found, np.int64)
-
-        numbers = look_up(first)[like]
-        numbers[~same] = look_up(np.flatnonzero(~same))
-        return numbers
+        windows, n = self.windows_of.take(numbers)
+        sizes = [np.bincount(owner, w, len(texts)).astype(np.int64) for w in (n, self.a.sizes(numbers), self.b.sizes(numbers))]
+        return Aligned(numbers, windows, *sizes)
 
     def digests(self, found: Aligned) -> list[str]:
         """SHA-256 of the groups of each text, written ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
@@ -289,16 +281,6 @@ class Aligner:
         return np.bincount(cells // many, minlength=len(found.n_a)), pairs[cells % many], times
 
 
-def _equal_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """Whether each run equals run number ``like``."""
-    sizes = ends - starts
-    equal = sizes == sizes[like]
-    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    other = np.minimum(np.repeat(starts[like], sizes) + within, len(values) - 1)
-    differs = values[np.repeat(starts, sizes) + within] != values[other]
-    return equal & (np.bincount(np.repeat(np.arange(len(sizes)), sizes), differs, len(sizes)) == 0)
-
-
 _ALIGNERS: dict[int, Aligner] = {}  # of this Python worker: what one task has learnt serves the next
 
 
@@ -357,7 +339,8 @@ def aligned_groups(
     two ends that both share, in order. Byte-level file first, piece model second."""
 
     def work(aligner: Aligner, texts: list[str]) -> list[pa.Array]:
-        found, a, b = aligner.align(texts)
+        found = aligner.align(texts)
+        (a, _), (b, _) = aligner.a.take(found.words), aligner.b.take(found.words)
         groups, n_groups, _ = aligner.sizes(found)
         pairs = [pa.array(groups[:, k].astype(np.int32)) for k in (0, 1)]
         rows = pa.StructArray.from_arrays(pairs, ["n_a", "n_b"])
@@ -375,7 +358,7 @@ def linked_pairs(
     ((id of the first << 32) + id of the second) with how many ``times`` each is linked."""
 
     def work(aligner: Aligner, texts: list[str]) -> list[pa.Array]:
-        found, _, _ = aligner.align(texts)
+        found = aligner.align(texts)
         _, n_groups, n_links = aligner.sizes(found)
         n, pairs, times = aligner.pair_times(found)
         counts = [pa.array(v, pa.int64()) for v in (found.n_a, found.n_b, n_groups, n_links)]
