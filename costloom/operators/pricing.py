@@ -32,11 +32,9 @@ COMBINATIONS = {
 }
 
 
-def price_book(catalog: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """(kind, usage_type, item, region, price) of the given kinds, one row per key; a null region is the global price.
-
-    Among rows of the same key the latest effective date wins, then the smallest sku id.
-    """
+def lookup_entries(catalog: DataFrame, kinds: Sequence[str], *extra: Column) -> DataFrame:
+    """``kind``, ``usage_type``, ``item``, ``region`` that each active price of the given kinds is looked up by; a null
+    region is a global price."""
     category = F.col("category")
 
     def entry(kind: str, wanted: str, usage: Column, item: str) -> Column:
@@ -51,17 +49,24 @@ def price_book(catalog: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
         "storage": [entry("disk", "storage", F.lit(ANY_USAGE), "disk_type")],
         "gpu": [entry("gpu", "gpu", F.lit(ANY_USAGE), "gpu_type")],
     }
-    entries = F.array_compact(F.array(*(e for kind in kinds for e in of_kind[kind])))
-    rank = F.struct(-F.unix_date("effective_date"), "sku_id", "price_per_unit")
+    found = F.array_compact(F.array(*(e for kind in kinds for e in of_kind[kind])))
     return (
         catalog.where(F.col("is_active") & (F.col("service_name") == K.COMPUTE_SERVICE_NAME))
         .where(F.col("category").isin(*kinds))
-        .select(F.inline(entries), "region", "price_per_unit", rank.alias("rank"))
-        .groupBy("kind", "usage_type", "item", "region")
-        .agg(F.min_by("price_per_unit", "rank").alias("price"))
+        .select(F.inline(found), "region", *extra)
     )
 
 
+def price_book(catalog: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(kind, usage_type, item, region, price) of the given kinds, one row per key.
+
+    Among rows of the same key the latest effective date wins, then the smallest sku id.
+    """
+    rank = F.struct(-F.unix_date("effective_date"), "sku_id", "price_per_unit")
+    rows = lookup_entries(catalog, kinds, F.col("price_per_unit"), rank.alias("rank"))
+    return rows.groupBy("kind", "usage_type", "item", "region").agg(F.min_by("price_per_unit", "rank").alias("price"))
+
+
 def price_all(specs: DataFrame, catalog: DataFrame, kinds: Sequence[str] = KINDS, **bounds: int) -> DataFrame:
     """Add the compute, storage and GPU price of each resource, or only the given kinds.
 
@@ -69,6 +74,11 @@ def price_all(specs: DataFrame, catalog: DataFrame, kinds: Sequence[str] = KINDS
     estimated rates and a GPU costs nothing.
     """
     book = settle(price_book(catalog, kinds))
+    return price_from(specs, book, joins.measure(book), kinds, **bounds)
+
+
+def price_from(specs: DataFrame, book: DataFrame, size: joins.Size, kinds: Sequence[str] = KINDS, **bounds: int) -> DataFrame:
+    """:func:`price_all` with a book that is at hand and was measured; while it is small, no job runs here."""
     found = specs.withColumns(
         {
             "_usage": rates.usage_type_of(F.col("pricing_model")),
@@ -76,7 +86,7 @@ def price_all(specs: DataFrame, catalog: DataFrame, kinds: Sequence[str] = KINDS
             "_gpu": F.when(F.col("gpu_count") > 0, F.col("gpu_type")),
         }
     )
-    small = joins.measure(book).fits(**bounds)
+    small = size.fits(**bounds)
     for kind in kinds:
         found = _by_broadcast(found, book, kind) if small else _by_combination(found, book, kind, **bounds)
     prices = {

@@ -9,9 +9,10 @@ Date reports filter on ``calc_date``, the column the stored results are partitio
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from costloom import constants as K
 from costloom.functions import cases, rates, utc_day
@@ -187,6 +188,42 @@ def budget_check(lines: DataFrame, budgets: dict[str, float] | None = None) -> D
     )
 
 
+def budget_crossings(
+    lines: DataFrame, budgets: dict[str, float] | None = None, order: Sequence[str] = ("calc_date", "resource_id", "boq_id"),
+    slices: int | None = None,
+) -> DataFrame:
+    """The line with which the cost of each center, added up in ``order``, first passes its budget; centers that stay
+    within it have no row. Lines equal in all of ``order`` are added at once.
+
+    A running sum in two levels, so that a center of any size spreads over all tasks: lines are sorted by center and order
+    into ranges; every range's sum per center is added up over the ranges before it, of which there are as many as
+    tasks, and only the one range in which a budget is passed is summed line by line.
+    """
+    known = (budgets or K.COST_CENTER_BUDGETS).items()
+    limit = cases((F.col("cost_center") == name, F.lit(round(threshold * rates.MICROS)).cast("decimal(28,0)")) for name, threshold in known)
+    micros = F.coalesce(F.sum(rates.in_units(F.col("total_cost_usd")).cast("decimal(20,0)")), F.lit(0)).cast("decimal(28,0)")
+    steps = lines.where(limit.isNotNull()).groupBy("cost_center", *order).agg(micros.alias("micros"), F.count(F.lit(1)).alias("lines"))
+    parts = slices or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["cost_center", *order]
+    # Stored once: which range a line lies in must not change between the two readings.
+    dealt = settle(steps.repartitionByRange(parts, *keys).withColumn("slice", F.spark_partition_id()))
+    sums = dealt.groupBy("cost_center", "slice").agg(F.sum("micros").cast("decimal(28,0)").alias("sum"))
+    before = Window.partitionBy("cost_center").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    reached = sums.withColumns({"before": F.coalesce(F.sum("sum").over(before), F.lit(0)).cast("decimal(28,0)"), "budget": limit})
+    passing = reached.where("before <= budget and before + sum > budget").groupBy("cost_center").agg(
+        F.min_by(F.struct("slice", "before", "budget"), "slice").alias("at")
+    )
+    here = dealt.join(F.broadcast(passing), "cost_center").where("slice = at.slice")  # a row for each budget
+    running = Window.partitionBy("cost_center").orderBy(*order)
+    summed = here.withColumn("reached", (F.col("at.before") + F.sum("micros").over(running)).cast("decimal(28,0)"))
+    first = summed.where("reached > at.budget").groupBy("cost_center").agg(F.min(F.struct("reached", *order)).alias("first"), F.first("at.budget").alias("budget"))
+    money = lambda c: c.cast("double") / F.lit(rates.MICROS)
+    return first.select(
+        "cost_center", *(F.col(f"first.{c}").alias(c) for c in order), money(F.col("first.reached")).alias("reached_usd"),
+        money(F.col("budget")).alias("budget_threshold"),
+    )
+
+
 def results_retention(lines: DataFrame, as_of: date, keep_days: int = K.RESULTS_KEEP_DAYS) -> DataFrame:
     return lines.where(since("calc_date", as_of, keep_days))
 

@@ -142,6 +142,18 @@ def _delete(spark: SparkSession, folder: str) -> None:
     files.delete(root, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    files, root = _files(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(root)] if files.exists(root) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file."""
+    files, file = _files(spark, path)
+    files.create(file, True).close()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     files, root = _files(spark, path)
     return files.exists(root)

@@ -1,0 +1,103 @@
+"""Stored price books against books built anew."""
+
+import random
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from costloom.operators import best_prices, joins, pricing
+from costloom.sources import books
+from samples import TODAY, catalog_of, price, specs_of
+from test_pricing import TYPES, random_catalog, spec
+
+
+def rows_of(spark, rows):
+    return catalog_of(spark, *[price(**r) for r in rows]) if rows else catalog_of(spark, price()).limit(0)
+
+
+def listed(book):
+    return sorted((tuple(r) for r in book.collect()), key=str)
+
+
+def plain(catalog):
+    return listed(pricing.price_book(catalog))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_sequences_equal_a_rebuild(spark, seed):
+    rng = random.Random(seed)
+    rows = [dict(r, is_active=True) for r in random_catalog(rng, 150)]
+    shown = rows[:60]
+    book = best_prices.build(rows_of(spark, shown), kept=2)
+    waiting, filled = rows[60:], 0
+    for step in range(4):
+        gone = [r for r in shown if rng.random() < 0.35]
+        some, waiting = waiting[: rng.randint(0, 40)], waiting[40:]
+        as_of = TODAY - timedelta(days=1 if step == 2 else 9)
+        some = [r for r in some if r["effective_date"] >= as_of]
+        # Equal entries go together.
+        name = lambda r: tuple(v for k, v in sorted(r.items()))
+        out = {name(r) for r in gone}
+        shown = [r for r in shown if name(r) not in out] + some
+        shown = [r for r in shown if r["effective_date"] >= as_of]
+        book = best_prices.retire_before(book, as_of)
+        now = rows_of(spark, shown)
+        retired = best_prices.entries(rows_of(spark, gone))
+        book = best_prices.advance(book, best_prices.entries(rows_of(spark, some)), retired, kept=2)
+        book = spark.createDataFrame(book.collect(), best_prices.BOOK)
+        filled += book.where("size(best) = 0").count()
+        book = spark.createDataFrame(best_prices.refill(book, now, kept=2).collect(), best_prices.BOOK)
+        assert listed(best_prices.prices(book)) == plain(now)
+    assert filled  # some keys had to be filled again
+
+
+def test_the_next_price_is_promoted_without_the_catalog(spark):
+    rows = [dict(category="storage", disk_type="pd-ssd", machine_type=None, region=None, sku_id=f"s{i}", price_per_unit=float(i)) for i in range(9)]
+    book = best_prices.build(rows_of(spark, rows))
+    assert [e["sku_id"] for e in book.first()["best"]] == ["s0", "s1", "s2", "s3"] and book.first()["more"]
+    for i in range(4):
+        assert best_prices.prices(book).first()["price"] == float(i)
+        book = best_prices.advance(book, retired=best_prices.entries(rows_of(spark, rows[i : i + 1])))
+    assert book.first()["best"] == [] and book.first()["more"]
+    assert best_prices.prices(best_prices.refill(book, rows_of(spark, rows[4:]))).first()["price"] == 4.0
+
+
+def test_one_key_with_very_many_prices(spark):
+    rows = spark.range(200_000).select(
+        F.lit("storage").alias("category"), F.lit("Compute Engine").alias("service_name"), F.lit("pd-ssd").alias("disk_type"), F.lit("x").alias("usage_type"),
+        F.lit(None).cast("string").alias("region"), F.lit(True).alias("is_active"), F.lit(TODAY).alias("effective_date"),
+        F.format_string("s%06d", "id").alias("sku_id"), F.col("id").cast("double").alias("price_per_unit"), F.lit(None).cast("string").alias("machine_type"),
+        F.lit(None).cast("string").alias("machine_family"), F.lit(None).cast("string").alias("gpu_type"),
+    )
+    book = best_prices.build(rows)
+    assert "WindowGroupLimit" in book._jdf.queryExecution().executedPlan().toString()
+    assert [e["price"] for e in book.first()["best"]] == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_stored_books_price_without_a_job(spark, tmp_path):
+    path, rng = str(tmp_path / "books"), random.Random(6)
+    rows = [dict(r, is_active=True) for r in random_catalog(rng, 120)]
+    first, now = rows_of(spark, rows[:80]), rows_of(spark, rows)
+    books.write(best_prices.build(first), path, 3)
+    book = books.follow(spark, path, 3, 4, now, added=rows_of(spark, rows[80:]))
+    assert listed(book.prices) == plain(now) and book.size == joins.measure(pricing.price_book(now))
+    specs = specs_of(spark, *[spec(resource_id=f"r{i}", machine_type=rng.choice(TYPES), region=rng.choice(["us-east1", "us-west1"])) for i in range(30)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("stored book", "pricing")
+    found = pricing.price_from(specs, *books.read(spark, path, 4)._replace(rows=books.read(spark, path, 4).prices))
+    assert not tracker.getJobIdsForGroup("stored book")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert listed(found) == listed(pricing.price_all(specs, now))
+    after = books.follow(spark, path, 4, 5, now, retired_before=TODAY)
+    assert listed(after.prices) == plain(now.where(F.col("effective_date") >= F.lit(TODAY)))
+    with pytest.raises(LookupError):
+        books.read(spark, path, 9)
+
+
+def test_empty_book(spark, tmp_path):
+    none = rows_of(spark, [])
+    book = best_prices.build(none)
+    assert best_prices.advance(book, best_prices.entries(none), best_prices.entries(none)).count() == 0
+    books.write(book, str(tmp_path), 0)
+    assert books.read(spark, str(tmp_path), 0).size == (0, 0)

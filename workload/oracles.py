@@ -338,6 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "price_storage": priced("select resource_id, storage_price_per_gb_month from priced"),
         "price_gpu": priced("select resource_id, gpu_price_per_hour from priced"),
         "price_all": priced(f"select {PRICES} from priced"),
+        "price_all_stored": priced(f"select {PRICES} from priced"),
         "price_all_large_book": priced(f"select {PRICES} from priced"),
         "boq_base_costs": lines(
             "select resource_id, compute_cost_usd, memory_cost_usd, storage_cost_usd, network_cost_usd, "
@@ -499,6 +500,23 @@ def oracle_sql() -> dict[str, str]:
             + " ".join(f"when '{name}' then {limit!r}e0" for name, limit in registry.BUDGETS.items())
             + " end as budget_threshold from lines group by cost_center) as centers"
         ),
+        "budget_crossings": lines(
+            """, steps as (
+              select cost_center, calc_date, resource_id, boq_id, cast(round(total_cost_usd * 1e6) as bigint) as m,
+                case cost_center """
+            + " ".join(f"when '{name}' then {limit!r}e0" for name, limit in registry.CROSSED_BUDGETS.items())
+            + """ end as budget_threshold
+              from lines
+            ),
+            summed as (
+              select *, sum(m) over (partition by cost_center order by calc_date, resource_id, boq_id) as reached
+              from steps where budget_threshold is not null
+            )
+            select cost_center, cast(calc_date as varchar) as calc_date, resource_id, boq_id,
+              cast(reached as double) / 1e6 as reached_usd, budget_threshold
+            from summed where reached > budget_threshold * 1e6
+            qualify row_number() over (partition by cost_center order by calc_date, resource_id, boq_id) = 1"""
+        ),
         "results_retention": lines(
             f"select {LINE_COLUMNS}, cast(calc_date as varchar) as calc_date from lines "
             "where calc_date >= cast(date '2001-08-01' - interval 365 day as date)"

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from costloom import constants as K, schemas
 from costloom.functions import display, rates
 from costloom.operators import catalog as catalogs
-from costloom.operators import costing, filters, maintenance, paging, pricing, quality, reports, requests
+from costloom.operators import best_prices, costing, filters, maintenance, paging, pricing, quality, reports, requests
 from costloom.plans import jobs, listings
 from costloom.session import scratch_path, settle
-from costloom.sources import rollups, tables
+from costloom.sources import books, rollups, tables
 from costloom.streaming import jobs as streams
 from workload import inputs
 from workload.inputs import AS_OF, BOQ_ID, NOW, REFRESH_DAY, REFRESH_TIME, catalog, feed, lines, specs
@@ -36,6 +36,7 @@ LINE_COLUMNS = [
 ]
 ANOMALY_SIGMAS = 3.0
 BUDGETS = {"automobile": 1e5, "building": 1e6, "furniture": 1e7, "household": 1e8}
+CROSSED_BUDGETS = {"automobile": 1e3, "building": 2e4, "furniture": 3e4, "household": 1e8}
 EPOCH = date(1970, 1, 1)
 FILTER_REGIONS = ["us-central1", "us-east1"]
 FILTER_MODELS = ["spot", "cud-1-year"]
@@ -247,6 +248,19 @@ def price_all_large_book(spark, sf_dir):
     return pricing.price_all(specs(spark, sf_dir), catalog(spark, sf_dir), max_rows=0).select(PRICES)
 
 
+@query
+def price_all_stored(spark, sf_dir):
+    """The same prices from a stored book that followed the catalog: prices arrived in three parts, all of them active;
+    then those went that are not active now."""
+    now, path = catalog(spark, sf_dir), scratch_path(spark, "books")
+    arrived, part = now.withColumn("is_active", F.lit(True)), F.crc32("sku_id") % 3
+    books.write(best_prices.build(arrived.where(part == 0)), path, 0)
+    for state in (1, 2):
+        books.follow(spark, path, state - 1, state, arrived.where(part <= state), added=arrived.where(part == state))
+    book = books.follow(spark, path, 2, 3, now, retired=now.where("not is_active"))
+    return pricing.price_from(specs(spark, sf_dir), book.prices, book.size).select(PRICES)
+
+
 # Cost lines.
 
 
@@ -633,6 +647,13 @@ def budget_check(spark, sf_dir):
     return reports.budget_check(lines(spark, sf_dir), BUDGETS)
 
 
+@query
+def budget_crossings(spark, sf_dir):
+    """Where each cost center's running cost passes its budget."""
+    found = reports.budget_crossings(lines(spark, sf_dir), CROSSED_BUDGETS)
+    return found.withColumn("calc_date", day("calc_date"))
+
+
 @query
 def results_retention(spark, sf_dir):
     return reports.results_retention(lines(spark, sf_dir), AS_OF).select(*LINE_COLUMNS, day("calc_date"))
