@@ -64,17 +64,15 @@ def append_lines(
     rows = lay_out(_declared(lines, "results", now), "results", many_days).withColumn(WRITER, F.lit(write_id))
     day, _ = schemas.LAYOUT["results"]
     spark = lines.sparkSession
-    before = _writer_files(spark, path, write_id)
+    before = {folder: set(names(spark, folder)) for folder in _writer_folders(spark, path, write_id)}
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, WRITER)
     for option, value in RUN_FILTER.items():
         writer = writer.option(option, value)
     writer.parquet(path)
-    after = _writer_files(spark, path, write_id)
-    for folder, names in before.items():  # the write has put other files into the folders of its own days
-        if after.get(folder) == names:
+    for folder, files in before.items():  # the write has put other files into the folders of its own days
+        if set(names(spark, folder)) == files:
             _delete(spark, folder)
-            del after[folder]
-    _register(spark, path, write_id, sorted(after))
+    _register(spark, path, write_id, _writer_folders(spark, path, write_id))
 
 
 def run_lines(spark: SparkSession, path: str, boq_id: str) -> DataFrame:
@@ -127,14 +125,13 @@ def _register(spark: SparkSession, path: str, write_id: str, folders: list[str])
     runs.hint("rebalance", RUN_BUCKET).write.mode("append").partitionBy(RUN_BUCKET, WRITER).parquet(place)
 
 
-def _writer_files(spark: SparkSession, path: str, write_id: str) -> dict[str, set[str]]:
-    """The names of the files in each folder of a writer."""
+def _writer_folders(spark: SparkSession, path: str, write_id: str) -> list[str]:
+    """The folders of a writer, one per day."""
     day, _ = schemas.LAYOUT["results"]
     files, root = _files(spark, path)
     name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(write_id)
     found = files.globStatus(_child(spark, root, f"{day}=*/{WRITER}={name}")) if files.exists(root) else []
-    folders = [entry.getPath() for entry in found or []]
-    return {str(f.toString()): {entry.getPath().getName() for entry in files.listStatus(f)} for f in folders}
+    return sorted(entry.getPath().toString() for entry in found or [])
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
