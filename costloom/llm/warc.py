@@ -12,9 +12,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from costloom.llm.storage import stored
+from costloom.operators import joins
 
 FRAME_BYTES = 256 << 10  # of records, uncompressed, before a frame ends; a larger record has a frame of its own
 BUNDLE_BYTES = 256 << 20  # compressed, before the next bundle begins
+READ_BYTES = 4 << 20  # packed bytes of the frames that one task reads
 REVISIT_BYTES = 100  # payloads below are always written in full
 
 # Fixed values of the seekable Zstandard format and of WARC 1.1.
@@ -137,9 +139,12 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
     Payloads are UTF-8, null is empty. Of rows with equal payloads of at least ``REVISIT_BYTES`` bytes, that with the
     least id holds the payload and those with larger ids revisit it; rows with a null id are always responses, and rows
-    that repeat the least id too. Digests are compared before payloads move: only payloads that occur again are joined.
-    Each task attempt writes bundles of its own and memory holds one frame; the index is committed by Spark and names
-    the bundles of successful attempts alone. An empty table gives an empty index and no bundle.
+    that repeat the least id too. Digests that occur again are found by an aggregation without payloads; while they are
+    few enough to broadcast, no payload is shuffled, and beyond that a digest that many rows share is split over tasks.
+    Each task attempt writes bundles of its own, from one Arrow batch and one open frame in memory; the index is
+    committed by Spark and names the bundles of successful attempts alone. An empty table gives an empty index and no
+    bundle. Payloads of any length are written whole, those above ``FRAME_BYTES`` in a frame of their own; other columns
+    are not looked at, whatever their names.
     """
     payload = F.encode(F.coalesce(F.col(f"`{payload_col}`"), F.lit("")), "UTF-8")
     rows = pages.select(
@@ -147,7 +152,8 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         F.sha2(payload, 256).alias("digest"),
     )
     long = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    typed = rows.join(long.where("n > 1").select("digest", "first"), "digest", "left")
+    again = stored(long.where("n > 1").select("digest", "first"), "digests")
+    typed = joins.lookup(rows, again, ["digest"], spread_by=["page_id", "url"])
     typed = typed.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("first"))
     kinds = _kinds(INDEX)
 
@@ -210,11 +216,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """All records of the bundles named in the column ``bundle``, as rows of ``RECORDS``, in no order.
 
-    The footers give the frames, which are dealt out evenly: tasks read byte ranges, whatever the size of a bundle.
+    The footers give the frames, which are dealt out to a task for each ``READ_BYTES`` packed bytes: tasks read byte
+    ranges, whatever the size of a bundle. The number is given, because rows that only name a frame are few bytes, and
+    adaptive execution would merge them into one task.
     Each response's digest is verified; damage raises. The payload of a revisit is null, its length and digest are not.
     """
-    frames = bundles.select("bundle").distinct().mapInArrow(_frames, "bundle string, frame_at long, frame_size long")
-    return frames.repartition("bundle", "frame_at").mapInArrow(_records, RECORDS)
+    fields = "bundle string, frame_at long, frame_size long"
+    frames = stored(bundles.select("bundle").distinct().mapInArrow(_frames, fields), "frames")
+    tasks = max(1, -(-(frames.agg(F.sum("frame_size")).first()[0] or 0) // READ_BYTES))
+    return frames.repartition(tasks, "bundle", "frame_at").mapInArrow(_records, RECORDS)
 
 
 def fetch_records(index: DataFrame) -> DataFrame:

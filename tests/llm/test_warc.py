@@ -50,6 +50,24 @@ def test_round_trip(spark, written):
             assert row["url"] == url[row["page_id"]]
 
 
+def test_digests_too_many_to_broadcast_are_joined(spark, monkeypatch):
+    """The other route to the revisits, with one digest that counts as hot."""
+    lookup = warc.joins.lookup
+    monkeypatch.setattr(warc.joins, "lookup", lambda *given, **named: lookup(*given, **named, max_rows=0, hot_rows=3))
+    docs = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(3)
+    found = warc.read_bundles(warc.write_bundles(docs, scratch_path(spark, "warc"))).collect()
+    got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found]
+    assert sorted(got, key=str) == expected(pages())
+
+
+def test_tasks_of_a_read_follow_the_bytes(spark, written, monkeypatch):
+    packed = written.select("bundle", "frame_at", "frame_size").distinct().agg(F.sum("frame_size")).first()[0]
+    monkeypatch.setattr(warc, "READ_BYTES", 1000)
+    assert warc.read_bundles(written).rdd.getNumPartitions() == -(-packed // 1000) > 3
+    monkeypatch.setattr(warc, "READ_BYTES", 1 << 30)
+    assert warc.read_bundles(written).rdd.getNumPartitions() == 1
+
+
 def test_bundles_are_seekable_zstandard(spark, written):
     import zstandard
 
