@@ -25,12 +25,17 @@ Order = Sequence[tuple[str, str]]
 
 def page(df: DataFrame, order: Order, number: int, size: int, top_rows: int = TOP_ROWS) -> DataFrame:
     """Page ``number`` (from 1) of the rows in ``order``."""
+    offset, behind = page_range(number, size)
+    if behind <= top_rows:
+        return df.orderBy(*sort_columns(order)).offset(offset).limit(size)
+    return _deep_page(df, order, offset, size)
+
+
+def page_range(number: int, size: int) -> tuple[int, int]:
+    """The places (from 0) of a page's first row and of the row behind it."""
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
-    offset = (number - 1) * size
-    if offset + size <= top_rows:
-        return df.orderBy(*_sort(order)).offset(offset).limit(size)
-    return _deep_page(df, order, offset, size)
+    return (number - 1) * size, number * size
 
 
 def _deep_page(df: DataFrame, order: Order, offset: int, size: int) -> DataFrame:
@@ -38,7 +43,7 @@ def _deep_page(df: DataFrame, order: Order, offset: int, size: int) -> DataFrame
     names = [name for name, _ in order]
     keys = settle(
         df.select(names)
-        .orderBy(*_sort(order))
+        .orderBy(*sort_columns(order))
         .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
     )
     counts = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("low")).collect()
@@ -55,21 +60,24 @@ def _deep_page(df: DataFrame, order: Order, offset: int, size: int) -> DataFrame
     # Rows with the very same key as the page's first row, but on the page before.
     tied = keys.where((F.col("_row") < rows[0]) & _at_or_beyond(order, first)).count()
     between = _at_or_beyond(order, first) & ~_beyond(order, last)
-    return df.where(between).orderBy(*_sort(order)).offset(tied).limit(size)
+    return df.where(between).orderBy(*sort_columns(order)).offset(tied).limit(size)
 
 
 def page_after(df: DataFrame, order: Order, last: Mapping[str, object] | None, size: int) -> DataFrame:
     """The ``size`` rows after a known row: any depth at the cost of the first page."""
     if last is not None:
         df = df.where(_beyond(order, last))
-    return df.orderBy(*_sort(order)).limit(size)
+    return df.orderBy(*sort_columns(order)).limit(size)
 
 
 def page_info(df: DataFrame, number: int, size: int) -> DataFrame:
     """One row: current page, number of pages, and whether there is a next and a previous one."""
-    if number < 1 or size < 1:
-        raise ValueError("page number and size start at 1")
-    total = F.count(F.lit(1))
+    return page_facts(F.count(F.lit(1)), df, number, size)
+
+
+def page_facts(total: Column, df: DataFrame, number: int, size: int) -> DataFrame:
+    """The facts of a page, where the aggregate ``total`` over ``df`` is the number of rows of the list."""
+    page_range(number, size)
     return df.agg(
         F.lit(number).cast("bigint").alias("current_page"),
         F.ceil(total / F.lit(size)).cast("bigint").alias("total_pages"),
@@ -78,7 +86,7 @@ def page_info(df: DataFrame, number: int, size: int) -> DataFrame:
     )
 
 
-def _sort(order: Order) -> list[Column]:
+def sort_columns(order: Order) -> list[Column]:
     return [F.desc(name) if direction == "desc" else F.asc(name) for name, direction in order]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from costloom import constants as K
 from costloom.operators import filters, paging, reports
-from costloom.sources import tables
+from costloom.sources import ordered, tables
 
 
 @dataclass
@@ -56,6 +56,17 @@ def prices(
     return _listing(chosen, paging.CATALOG_ORDER, number, K.CATALOG_PAGE_SIZE)
 
 
+def stored_resources(spark: SparkSession, folder: str, number: int = 1) -> Listing:
+    """A page of resources out of a list that :func:`store_resources` has stored: any depth from one state."""
+    size = K.RESOURCE_PAGE_SIZE
+    return Listing(ordered.page(spark, folder, number, size), ordered.page_info(spark, folder, number, size))
+
+
+def store_resources(specs: DataFrame, path: str, project: str | None = None, region: str | None = None) -> str:
+    """Store the list that :func:`resources` pages through and return its folder."""
+    return ordered.store(filters.where_equal(specs, project_id=project, region=region), path, paging.SPEC_ORDER)
+
+
 def choices(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The projects and regions a calculation can be limited to."""
     return filters.distinct_values(specs, "project_id"), filters.distinct_values(specs, "region")

@@ -71,7 +71,7 @@ def append_lines(
     writer.parquet(path)
     for folder, files in before.items():  # the write has put other files into the folders of its own days
         if set(names(spark, folder)) == files:
-            _delete(spark, folder)
+            delete(spark, folder)
     _register(spark, path, write_id, _writer_folders(spark, path, write_id))
 
 
@@ -134,7 +134,8 @@ def _writer_folders(spark: SparkSession, path: str, write_id: str) -> list[str]:
     return sorted(entry.getPath().toString() for entry in found or [])
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder with all it holds."""
     files, root = _files(spark, folder)
     files.delete(root, True)
 
@@ -274,7 +275,7 @@ def replace_days(df: DataFrame, path: str, day: str, days: Sequence[date]) -> No
     if present:
         write_days(df, path, day)
     for gone in set(days) - present:
-        _delete(spark, f"{path.rstrip('/')}/{day}={gone.isoformat()}")
+        delete(spark, f"{path.rstrip('/')}/{day}={gone.isoformat()}")
 
 
 def _declared(df: DataFrame, table: str, now: datetime | None) -> DataFrame:

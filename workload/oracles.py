@@ -330,6 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "resource_count": parts("select count(*) as count from specs where project_id = 'proj-3'"),
         "resources_page": parts(PAGE_SQL),
         "resources_deep_page": parts(PAGE_SQL),
+        "resources_stored_page": parts(PAGE_SQL),
         "page_info": parts(
             "select cast(2 as bigint) as current_page, cast(ceil(count(*) / 50e0) as bigint) as total_pages, "
             "100 < count(*) as has_next, true as has_prev from specs"

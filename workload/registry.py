@@ -205,6 +205,14 @@ def resources_deep_page(spark, sf_dir):
     return found.select(*SPEC_COLUMNS, time("created_at"))
 
 
+@query
+def resources_stored_page(spark, sf_dir):
+    """The same page out of the stored list."""
+    folder = listings.store_resources(specs(spark, sf_dir), scratch_path(spark, "lists"), region="us-east1")
+    found = listings.stored_resources(spark, folder, 2).rows
+    return found.select(*SPEC_COLUMNS, time("created_at"))
+
+
 @query
 def page_info(spark, sf_dir):
     return listings.resources(specs(spark, sf_dir), number=2).info
