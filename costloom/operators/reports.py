@@ -245,25 +245,45 @@ def monthly_cost(rollup: DataFrame) -> DataFrame:
     )
 
 
+MOMENTS = "project_id string, n bigint, s decimal(29,0), q decimal(38,0)"
+
+
 def cost_anomalies(lines: DataFrame, sigmas: float = 3.0, **bounds: int) -> DataFrame:
     """Lines that cost more than their project's mean plus ``sigmas`` standard deviations.
 
     Mean and deviation come from exact sums of micro-dollars and their squares. The squares are moved to the whole part
     of the mean in decimals, so nothing large is subtracted in floating point.
     """
+    return above_limit(lines, settle(cost_limits(cost_moments(lines), sigmas)), **bounds)
+
+
+def cost_moments(lines: DataFrame) -> DataFrame:
+    """``MOMENTS`` of each project's lines: their number, and exact sums of micro-dollars and of their squares. Moments of
+    different lines add up."""
     micros = rates.in_units(F.col("total_cost_usd")).cast("decimal(19,0)")
-    sums = lines.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(micros).alias("s"), F.sum(micros * micros).alias("q")
+    return added_moments(lines.select("project_id", F.lit(1).alias("n"), micros.alias("s"), (micros * micros).alias("q")))
+
+
+def added_moments(moments: DataFrame) -> DataFrame:
+    """The moments of all the lines that several moments of a project stand for."""
+    return moments.groupBy("project_id").agg(
+        F.sum("n").cast("bigint").alias("n"), F.sum("s").cast("decimal(29,0)").alias("s"), F.sum("q").cast("decimal(38,0)").alias("q")
     )
-    moved = sums.where("n > 1").withColumn("m", F.expr("cast(s div n as decimal(18,0))"))
+
+
+def cost_limits(moments: DataFrame, sigmas: float = 3.0) -> DataFrame:
+    """``cost_limit`` of each project with more than one line."""
+    moved = moments.where("n > 1").withColumn("m", F.expr("cast(s div n as decimal(18,0))"))
     moved = moved.withColumn("r", F.expr("cast(s - m * n as decimal(19,0))"))
     squares = F.expr("q - m * cast(s + r as decimal(20,0))").cast("double")
     n, rest = F.col("n").cast("double"), F.col("r").cast("double")
     variance = F.greatest(F.lit(0.0), (squares - rest * rest / n) / (n - F.lit(1.0)))
     mean = F.col("m").cast("double") + rest / n
-    limits = settle(
-        moved.select("project_id", ((mean + F.lit(sigmas) * F.sqrt(variance)) / rates.MICROS).alias("cost_limit"))
-    )
+    return moved.select("project_id", ((mean + F.lit(sigmas) * F.sqrt(variance)) / rates.MICROS).alias("cost_limit"))
+
+
+def above_limit(lines: DataFrame, limits: DataFrame, **bounds: int) -> DataFrame:
+    """Lines that cost more than their project's settled limit."""
     flagged = joins.lookup(lines, limits, ["project_id"], "inner", spread_by=["resource_id"], **bounds)
     return flagged.where(F.col("total_cost_usd") > F.col("cost_limit"))
 

@@ -20,8 +20,13 @@ def stream_requests(spark: SparkSession, path: str, files_per_trigger: int | Non
     return _file_stream(spark, schemas.REQUEST, path, files_per_trigger)
 
 
-def _file_stream(spark, schema, path, files_per_trigger):
-    reader = spark.readStream.schema(schema)
+def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Result lines as their Parquet files arrive; columns that the files leave out are null."""
+    return _file_stream(spark, schemas.RESULTS, path, files_per_trigger, "parquet")
+
+
+def _file_stream(spark, schema, path, files_per_trigger, form="json"):
+    reader = spark.readStream.schema(schema).format(form)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    return reader.load(path)

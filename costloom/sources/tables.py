@@ -20,6 +20,7 @@ from costloom import schemas
 from costloom.functions import utc_day
 from costloom.operators import quality
 from costloom.session import settle
+from costloom.sources import clustering
 
 WRITER = "write_id"  # inner partition of the results
 RUN_BUCKET, RUN_BUCKETS = "bucket", 64  # folders of the register of runs
@@ -157,6 +158,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(root)
 
 
+def recluster(spark: SparkSession, path: str, days: Sequence[date], files: int) -> None:
+    """Deal the specs of the given days out anew, over about ``files`` files clustered by their filter columns.
+
+    Rows are stored apart before the days are replaced, since appends leave files that all span all clusters. One
+    writer at a time may replace days; a reader of these days must begin before or after.
+    """
+    day, _ = schemas.LAYOUT["specs"]
+    rows = settle(read(spark, path, "specs").where(F.col(day).isin(list(days))))
+    clustering.clustered(rows, "specs", files).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(day).parquet(path)
+
+
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read with the declared schema; filters on the date column prune whole folders."""
     fields = _with_day(table)

@@ -61,10 +61,11 @@ def refresh_batch(
         tables.carry_forward(spark, catalog_path, key)
         return
     if not rejects.isEmpty():
-        _beside(rejects, f"{catalog_path.rstrip('/')}_rejected", batch_key(batch_id, stream))
+        beside(rejects, f"{catalog_path.rstrip('/')}_rejected", batch_key(batch_id, stream))
 
 
-def _beside(rows: DataFrame, path: str, key: str) -> None:
+def beside(rows: DataFrame, path: str, key: str) -> None:
+    """Store rows in the folder of a batch's key, in place of what the batch has stored before."""
     rows.write.mode("overwrite").parquet(f"{path}/{tables.WRITER}={key}")
 
 
@@ -121,8 +122,8 @@ def boq_batch(
     valid, broken = quality.split_valid(specs, "specs")
     tables.append_lines(boq_for_requests(valid, catalog, named), root, key, many_days=True)
     written = tables.read(spark, root, "results").where(F.col(tables.WRITER) == key).select("boq_id").distinct()
-    _beside(named.join(written, "boq_id", "left_anti"), f"{root}_unmatched", key)
-    _beside(match_requests(broken, named), f"{root}_rejected", key)
+    beside(named.join(written, "boq_id", "left_anti"), f"{root}_unmatched", key)
+    beside(match_requests(broken, named), f"{root}_rejected", key)
 
 
 def start_boq(

@@ -1,0 +1,87 @@
+"""Clustered files: the same rows, and filters on any cluster column skip files."""
+
+import glob
+from datetime import date, datetime, timezone
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from costloom import schemas
+from costloom.sources import clustering, tables
+
+DAY = date(2024, 5, 6)
+NOON = datetime(2024, 5, 6, 12, tzinfo=timezone.utc)
+
+
+def some_specs(spark, n=4000):
+    """Half of all rows belong to one project; regions and models are independent of it."""
+    i = F.col("id")
+    number = F.xxhash64(i)
+    return spark.range(n).select(
+        F.concat(F.lit("res-"), i).alias("resource_id"),
+        F.when(i % 2 == 0, F.lit("proj-hot")).otherwise(F.concat(F.lit("proj-"), F.pmod(number, F.lit(30)))).alias("project_id"),
+        F.concat(F.lit("region-"), F.pmod(F.shiftright(number, 8), F.lit(8))).alias("region"),
+        F.element_at(F.array(*map(F.lit, ("spot", "on-demand", "cud-1-year"))), (F.pmod(F.shiftright(number, 16), F.lit(3)) + 1).cast("int")).alias("pricing_model"),
+        F.lit("n1-standard-4").alias("machine_type"), F.lit(4).alias("vcpu_count"), F.lit(15.0).alias("memory_gb"),
+        F.lit("pd-ssd").alias("disk_type"), F.lit(10).alias("disk_size_gb"), F.lit(10).alias("usage_duration_hours"),
+        F.lit(NOON).alias("created_at"),
+    )
+
+
+def spans(path, column):
+    """(least, greatest) value of a column in each row group of the day's files, from the statistics alone."""
+    out = []
+    for file in glob.glob(f"{path}/created_date=*/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = meta.schema.names.index(column)
+        out += [(s.min, s.max) for g in range(meta.num_row_groups) if (s := meta.row_group(g).column(at).statistics)]
+    return out
+
+
+def test_filters_skip_files(spark, tmp_path):
+    path = str(tmp_path / "specs")
+    for part in range(4):
+        rejects = tables.append(some_specs(spark).where(F.pmod(F.xxhash64("resource_id"), F.lit(4)) == part).repartition(4), path, "specs", now=NOON)
+        assert rejects.count() == 0
+    before = sorted(map(str, tables.read(spark, path, "specs").collect()))
+    loose = {c: spans(path, c) for c in ("project_id", "region")}
+    tables.recluster(spark, path, [DAY], files=16)
+    assert sorted(map(str, tables.read(spark, path, "specs").collect())) == before
+    for column, values in (("project_id", [f"proj-{i}" for i in range(30)]), ("region", [f"region-{i}" for i in range(8)])):
+        tight = spans(path, column)
+        assert len(tight) >= 12
+        share = lambda found: sum(a <= v <= b for v in values for a, b in found) / len(values) / len(found)
+        assert share(loose[column]) > 0.9 and share(tight) < 0.5, (column, share(loose[column]), share(tight))
+    # The project that holds half of all rows spreads over about half of the files.
+    assert sum(a <= "proj-hot" <= b for a, b in spans(path, "project_id")) >= 6
+
+
+def test_other_days_stay(spark, tmp_path):
+    path = str(tmp_path / "specs")
+    rows = some_specs(spark, 100)
+    tables.append(rows.unionByName(rows.withColumn("created_at", F.col("created_at") + F.expr("interval 1 day"))), path, "specs", many_days=True, now=NOON)
+    other = sorted(glob.glob(f"{path}/created_date=2024-05-07/*.parquet"))
+    tables.recluster(spark, path, [DAY], files=4)
+    assert other == sorted(glob.glob(f"{path}/created_date=2024-05-07/*.parquet"))
+    assert tables.read(spark, path, "specs").count() == 200
+    tables.recluster(spark, path, [], files=4)
+    assert tables.read(spark, path, "specs").count() == 200
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_keys_interleave_ranges(spark, bits):
+    rows = spark.createDataFrame([(a, b) for a in range(8) for b in "abcdefgh"] + [(None, None)], "a int, b string")
+    ranges = {c: clustering.bounds(rows, c, bits) for c in rows.columns}
+    assert all(len(starts) == 2**bits for starts in ranges.values())
+    for row in rows.withColumn("key", clustering.cluster_key(ranges, bits)).collect():
+        places = [max([i for i, s in enumerate(ranges[c]) if row[c] is not None and s <= row[c]], default=0) for c in rows.columns]
+        bit = lambda n, k: str(n >> k & 1)
+        assert row["key"] == int("".join(bit(n, k) for k in reversed(range(bits)) for n in places), 2)
+
+
+def test_columns_without_values(spark):
+    rows = spark.createDataFrame([(None,), (None,)], "a string")
+    assert clustering.bounds(rows, "a") == []
+    assert {r[0] for r in rows.select(clustering.cluster_key({"a": []})).collect()} == {0}
+    assert schemas.LAYOUT["specs"][1] == ["project_id", "region", "pricing_model"]

@@ -17,7 +17,8 @@ CHOSEN = [
     "price_all_large_book", "boq_disks", "boq_lines", "boq_requests", "boq_discounts", "dashboard", "cost_history",
     "boq_summary_by_id", "update_report", "catalog_refresh", "catalog_page", "results_append", "cost_anomaly",
     "daily_rollup", "budget_check", "budget_crossings", "price_all_stored", "stream_refresh", "report_format",
-    "run_boq", "refresh_job", "catalog_append", "stream_and_run", "table_layout",
+    "run_boq", "refresh_job", "catalog_append", "stream_and_run", "table_layout", "resources_stored_page",
+    "specs_clustered", "stream_anomalies",
 ]
 
 

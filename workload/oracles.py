@@ -268,6 +268,9 @@ def _page(source: str, order: str, limit: int, offset: int, columns: str) -> str
     return f"select {columns} from {source} order by {order} limit {limit} offset {offset}"
 
 
+PERIOD = " + ".join(f"case when calc_date >= date '{start}' then 1 else 0 end" for start in registry.PERIODS)
+
+
 def oracle_sql() -> dict[str, str]:
     def parts(text: str) -> str:
         return f"with {PARTS} {text}"
@@ -440,6 +443,10 @@ def oracle_sql() -> dict[str, str]:
             "select cast(cast(created_at as date) as varchar) as created_date, region, count(*) as resources "
             "from specs group by 1, 2"
         ),
+        "specs_clustered": parts(
+            f"select {', '.join(registry.SPEC_COLUMNS)} from specs "
+            "where project_id = 'proj-5' and pricing_model in ('spot', 'cud-1-year')"
+        ),
         "catalog_page": catalog(
             _page(
                 "catalog where is_active",
@@ -548,6 +555,28 @@ def oracle_sql() -> dict[str, str]:
             select resource_id, project_id, total_cost_usd, cost_limit from lines join limits using (project_id)
             where total_cost_usd > cost_limit"""
         ),
+        # Squares go through text, because the engine's cast of integers beyond 64 bits is not always to the nearest double.
+        "stream_anomalies": lines(
+            f""", dealt as (
+              select resource_id, project_id, total_cost_usd, cast(round(total_cost_usd * 1e6) as bigint) as c,
+                {PERIOD} as period
+              from lines
+            ),
+            sums as (
+              select later.period, project_id, count(*) as n, sum(cast(c as hugeint)) as s, sum(cast(c as hugeint) * c) as q
+              from (select distinct period from dealt) as later join dealt on dealt.period < later.period
+              group by later.period, project_id having count(*) > 1
+            ),
+            moved as (select *, s // n as m, s % n as r from sums),
+            limits as (
+              select period, project_id, (cast(m as double) + cast(r as double) / n
+                + {registry.ANOMALY_SIGMAS}e0 * sqrt(greatest(0e0, (cast(cast(q - m * (s + r) as varchar) as double)
+                - cast(r as double) * cast(r as double) / n) / (n - 1e0)))) / 1e6 as cost_limit
+              from moved
+            )
+            select resource_id, project_id, total_cost_usd, cost_limit from dealt join limits using (period, project_id)
+            where total_cost_usd > cost_limit"""
+        ),
         "catalog_staleness": catalog(
             "select service_name, strftime(max(last_updated), '%Y-%m-%d %H:%M:%S') as last_updated, "
             "date_diff('second', max(last_updated), timestamp '2001-08-01') / 3600e0 as age_hours, "

@@ -18,6 +18,8 @@ from costloom.operators import best_prices, costing, filters, maintenance, pagin
 from costloom.plans import jobs, listings
 from costloom.session import scratch_path, settle
 from costloom.sources import books, rollups, tables
+from costloom.sources import feed as feeds
+from costloom.streaming import anomalies
 from costloom.streaming import jobs as streams
 from workload import inputs
 from workload.inputs import AS_OF, BOQ_ID, NOW, REFRESH_DAY, REFRESH_TIME, catalog, feed, lines, specs
@@ -38,6 +40,7 @@ ANOMALY_SIGMAS = 3.0
 BUDGETS = {"automobile": 1e5, "building": 1e6, "furniture": 1e7, "household": 1e8}
 CROSSED_BUDGETS = {"automobile": 1e3, "building": 2e4, "furniture": 3e4, "household": 1e8}
 EPOCH = date(1970, 1, 1)
+PERIODS = ["1996-01-01", "1997-07-01", "1999-01-01"]  # where the later batches of streamed lines begin
 FILTER_REGIONS = ["us-central1", "us-east1"]
 FILTER_MODELS = ["spot", "cud-1-year"]
 
@@ -585,6 +588,17 @@ def table_layout(spark, sf_dir):
     return stored.groupBy(day("created_date"), "region").agg(F.count(F.lit(1)).alias("resources"))
 
 
+@query
+def specs_clustered(spark, sf_dir):
+    """Resources of one project and region out of a day that holds all of them, dealt anew over 16 files."""
+    path = scratch_path(spark, "specs")
+    rows = specs(spark, sf_dir).withColumn("created_at", F.lit(NOW))
+    tables.append(rows, path, "specs", now=NOW)
+    tables.recluster(spark, path, [AS_OF], files=16)
+    found = filters.where_equal(tables.read(spark, path, "specs"), project_id="proj-5", region=None)
+    return found.where(F.col("pricing_model").isin(FILTER_MODELS)).select(*SPEC_COLUMNS)
+
+
 @query
 def catalog_append(spark, sf_dir):
     path = scratch_path(spark, "catalog")
@@ -689,6 +703,19 @@ def cost_anomaly(spark, sf_dir):
     )
 
 
+@query
+def stream_anomalies(spark, sf_dir):
+    """All lines in four periods, each of which arrives in files and is judged by the periods before."""
+    inbox, path, progress = (scratch_path(spark, name) for name in ("lines", "flags", "progress"))
+    period = sum(((F.col("calc_date") >= F.lit(start).cast("date")).cast("int") for start in PERIODS), F.lit(0))
+    shown = lines(spark, sf_dir).select("resource_id", "project_id", "total_cost_usd", period.alias("period"))
+    whole = settle(shown)
+    for number in range(len(PERIODS) + 1):
+        whole.where(F.col("period") == number).drop("period").write.mode("append").parquet(inbox)
+        anomalies.start_anomalies(feeds.stream_lines(spark, inbox), path, progress, ANOMALY_SIGMAS).awaitTermination()
+    return anomalies.flagged(spark, path).select("resource_id", "project_id", "total_cost_usd", "cost_limit")
+
+
 @query
 def catalog_staleness(spark, sf_dir):
     return reports.catalog_staleness(catalog(spark, sf_dir), NOW).select(
