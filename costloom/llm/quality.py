@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from costloom.llm.storage import fresh, stored
 from costloom.llm.words import Chunk, chunks, ngrams, sum_hash, constants
+from costloom.operators import joins
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8  # words
 MIN_GROUP = 100  # rows a group needs for an estimate of its own; smaller ones take their language's, then the table's
+GROUPS_SENT = 100_000  # groups whose estimates (some 250 bytes each) are sent to the executors; more are joined
 CORE = 0.75  # share of a group's rows that the least determinant is sought over
 STEPS = 4
 PRIOR_WORDS, PRIOR_LINES = 50, 10  # of an average text mixed into each, so that short texts do not stand out by chance
@@ -186,11 +188,17 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     return stored(totals.mapInPandas(_inverted(factor), _MODEL), "estimate")
 
 
+def _with_group(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with the stored facts of their group. Few groups are broadcast, so that a group that holds much of the table
+    stays spread; beyond that, rows of such a group are cut into slices."""
+    return joins.lookup(rows, facts, ["group"], "inner", spread_by=["x"], max_rows=GROUPS_SENT)
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and median deviations of each group."""
     x = F.col("x")
     middle = rows.groupBy("group").agg(F.array(*(F.percentile(x[i], F.lit(0.5)) for i in range(_P))).alias("centre"))
-    gaps = rows.join(middle, "group").select("group", "centre", *(F.abs(x[i] - F.col("centre")[i]).alias(f"g{i}") for i in range(_P)))
+    gaps = _with_group(rows, stored(middle, "medians")).select("group", "centre", *(F.abs(x[i] - F.col("centre")[i]).alias(f"g{i}") for i in range(_P)))
     spread = gaps.groupBy("group").agg(
         F.first("centre").alias("centre"), *(F.percentile(F.round(f"g{i}", 4), F.lit(0.5)).alias(f"s{i}") for i in range(_P))
     )
@@ -209,13 +217,14 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     model = _start(rows)
     every = Window.partitionBy("group")
     for step in range(STEPS + 1):
-        measured = rows.join(model, "group").withColumn("d2", _distance())
+        measured = _with_group(rows, model).withColumn("d2", _distance())
         if step < STEPS:
             measured = measured.withColumn("bin", F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * 16))
             bins = measured.groupBy("group", "bin").agg(F.count("*").alias("n"))
             below = bins.withColumn("below", F.sum("n").over(every.orderBy("bin"))).withColumn("all", F.sum("n").over(every))
             core = below.where(F.col("below") >= CORE * F.col("all")).groupBy("group").agg(F.min("bin").alias("core"))
-            model = _moments(measured.join(core, "group").where("bin <= core"), _consistency(CORE))
+            inner = _with_group(measured, stored(core, "core")).where("bin <= core")
+            model = _moments(inner, _consistency(CORE))
         else:
             model = _moments(measured.where(F.col("d2") <= _chi2_at(0.975, _P)), _consistency(0.975))
     return model
@@ -242,7 +251,10 @@ def quality_rules(
     of_group = [lang.alias("group_lang"), source.alias("group_source")]
     text = F.col(f"`{text_col}`").alias("measured_text")
     kept_columns = [F.col(f"`{c}`").alias("measured_text" if c == text_col else f"carried{i}") for i, c in enumerate(carry)]
-    slim = stored(with_statistics(docs.select(text, *of_group), "measured_text", ["group_lang", "group_source"]), "statistics")
+    carried = ["measured_text" if c == text_col else f"carried{i}" for i, c in enumerate(carry)]
+    wide = docs.select(*kept_columns, *([] if text_col in carry else [text]), *of_group)
+    # Texts are read and measured once: what is carried is stored beside the statistics.
+    slim = stored(with_statistics(wide, "measured_text", [*carried, "group_lang", "group_source"]), "statistics")
 
     passed = slim.where(~_base_failed())
     by_source = passed.groupBy("group_lang", "group_source").agg(F.count("*").alias("n_source"))
@@ -256,13 +268,11 @@ def quality_rules(
 
     used = groups.where("group is not null").select("group").distinct()
     fits = passed.select(_vector().alias("x"), F.explode(F.array(own, of_lang, F.lit("*"))).alias("group"))
-    model = minimum_covariance(stored(fits.join(used, "group", "left_semi"), "vectors"))
+    model = minimum_covariance(stored(_with_group(fits, stored(used, "groups")), "vectors"))
 
-    wide = docs.select(*kept_columns, *([] if text_col in carry else [text]), *of_group)
-    carried = ["measured_text" if c == text_col else f"carried{i}" for i, c in enumerate(carry)]
+    of_rows = stored(groups.join(model, "group", "left"), "models")
     measured = (
-        with_statistics(wide, "measured_text", [*carried, "group_lang", "group_source"])
-        .join(groups.join(model, "group", "left"), ["group_lang", "group_source"], "left")
+        joins.lookup(slim, of_rows, ["group_lang", "group_source"], "left", spread_by=STATISTICS, max_rows=GROUPS_SENT)
         .withColumn("failed", _base_failed())
         .withColumn("x", _vector())
         .withColumn("d2", F.when(~F.col("failed"), _distance()))

@@ -6,6 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from costloom.llm import quality
 from costloom.llm.quality import MIN_GROUP, STATISTICS, minimum_covariance, quality_rules, statistics_of
 
 
@@ -83,3 +84,18 @@ def test_estimate_resists_a_fifth_of_outliers(spark):
     assert np.abs(np.array(model["centre"]) - 2).max() < 0.1
     assert np.abs(scatter - mixing @ mixing.T).max() < 0.15 * np.abs(mixing @ mixing.T).max()
     assert rows.select(F.col("x")[0]).count() == 5000
+
+
+def test_both_routes_to_the_groups_give_the_same_answers(spark, monkeypatch):
+    """Estimates joined instead of sent, with every group cut into slices, as one group that holds most rows is."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.choice([25, 60, 200])) + "!" * rng.randint(0, 3), "en", "hot" if i % 4 else "cold") for i in range(5 * MIN_GROUP)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    answers = lambda: {r["doc_id"]: (r["distance"], r["kept"]) for r in quality_rules(docs, carry=["doc_id"]).collect()}
+    sent = answers()
+    lookup = quality.joins.lookup
+    monkeypatch.setattr(quality.joins, "lookup", lambda *given, **named: lookup(*given, **{**named, "max_rows": 0, "hot_rows": 20}))
+    joined = answers()
+    assert sent.keys() == joined.keys() and len(sent) == len(rows)
+    for i, (distance, kept) in sent.items():
+        assert kept == joined[i][1] and abs(distance - joined[i][0]) < 1e-6 * max(1, distance)
