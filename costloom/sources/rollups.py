@@ -27,6 +27,7 @@ from costloom.session import settle
 from costloom.sources import tables
 
 GROUPS = ["project_id", "region", "pricing_model"]
+LINE_FIELDS = ["calc_date", "boq_id", *GROUPS, "total_cost_usd", "total_discount_usd"]  # what an update reads of a line
 SUMS = ["line_count", "cost_count", "cost_micros", "discount_micros"]
 MONEY = "decimal(28,0)"
 MONTH = "month"  # folder of days and bitmaps
@@ -85,13 +86,20 @@ def refresh(spark: SparkSession, path: str, months: list[date]) -> None:
     wanted = (F.col("calc_date") >= months[0]) & (F.col("calc_date") < F.add_months(F.lit(months[-1]), 1)) & month.isin(months)
     sums = _added(read(spark, path, "deltas").where(wanted), ["calc_date", *GROUPS], SUMS)
     present = _added(read(spark, path, "presence").where(wanted), ["calc_date", "run"], ["line_count"])
-    bits = present.groupBy("calc_date", F.bitmap_bucket_number("run").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("run")).alias("runs")
-    )
-    for name, df in (("days", sums), ("bitmaps", bits)):
+    for name, df in (("days", sums), ("bitmaps", _bitmaps(present))):
         tables.replace_days(df.withColumn(MONTH, month), f"{path.rstrip('/')}/{name}", MONTH, months)
 
 
+def _bitmaps(present: DataFrame) -> DataFrame:
+    """``calc_date``, ``bucket`` and ``runs``, a bitmap of 4 KB, of rows (``calc_date``, ``run``).
+
+    The rows of a bitmap are brought together first. Bitmaps begun where the rows lie would be one of each day and bucket
+    in every task, 4 KB for a few runs, and their number would grow with the runs times the tasks.
+    """
+    rows = present.select("calc_date", F.bitmap_bucket_number("run").alias("bucket"), F.bitmap_bit_position("run").alias("bit"))
+    return rows.repartition("calc_date", "bucket").groupBy("calc_date", "bucket").agg(F.bitmap_construct_agg("bit").alias("runs"))
+
+
 def history(spark: SparkSession, path: str, as_of: date, days: int) -> DataFrame:
     """The daily history of a window: runs, lines and cost of each day, newest first. Reads no result lines."""
     sums = _window(spark, path, "days", as_of, days).groupBy("calc_date")

@@ -9,6 +9,7 @@ from costloom.operators import reports
 from costloom.plans import jobs, listings
 from costloom.sources import rollups, tables
 from tests.samples import NOW, catalog_of, seed_specs
+from workload import registry
 
 DAYS = [date(2024, 4, 28) + timedelta(days=i) for i in range(9)]  # over the end of a month
 FIELDS = "calc_date date, boq_id string, project_id string, region string, pricing_model string, total_cost_usd double, total_discount_usd double"
@@ -111,3 +112,32 @@ def test_a_lookup_of_one_run_opens_its_files_only(spark, tmp_path):
     assert tables.run_lines(spark, path, "none").count() == 0
     plan = tables.run_register(spark, path, "run-4")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_rows_of_a_bitmap_meet_before_it_is_begun(spark, tmp_path, monkeypatch):
+    plans, path = {}, str(tmp_path / "rollup")
+    replaced = tables.replace_days
+
+    def noted(df, place, *rest):
+        plans[place.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        replaced(df, place, *rest)
+
+    monkeypatch.setattr(tables, "replace_days", noted)
+    lines = [(day, f"run-{i}", "p", "r", "spot", 1.0, 0.0) for i in range(50) for day in DAYS]
+    rollups.update(spark.createDataFrame(lines, FIELDS), path, "a")
+    assert rollups.result_stats(spark, path, DAYS[-1], 400).first()["total_calculations"] == 50
+    # From the result down to the scan: both steps of the bitmaps come before the first exchange.
+    above = plans["bitmaps"].split("Exchange")[0]
+    assert "partial_bitmap_construct_agg" in above and plans["bitmaps"].count("partial_bitmap_construct_agg") == 1
+
+
+def test_lines_are_stored_with_the_fields_that_an_update_reads(spark, sf_dir, monkeypatch):
+    widths = []
+    settle = registry.settle
+    monkeypatch.setattr(registry, "settle", lambda df: (widths.append(df.columns), settle(df))[1])
+    found = registry.QUERIES["rollup_updates"](spark, sf_dir)
+    assert widths == [[*rollups.LINE_FIELDS, "resource_id"]]
+    number = F.substring("boq_id", 5, 20).cast("bigint")
+    kept = (number % 2 == 0) | (F.substring("resource_id", 5, 20).cast("bigint") % 2 == 0)
+    expected = reports.daily_rollup(registry.lines(spark, sf_dir).where(kept))
+    assert found.count() == expected.count() and found.agg(F.sum("line_count")).first() == expected.agg(F.sum("line_count")).first()

@@ -539,7 +539,8 @@ def _kept_rollup(spark, sf_dir):
     only lines of resources with an even number."""
     rollup = scratch_path(spark, "rollup")
     number = lambda name: F.substring(name, 5, 20).cast("bigint")
-    whole = settle(reports.with_calc_date(_all_lines(spark, sf_dir)))
+    whole = reports.with_calc_date(_all_lines(spark, sf_dir))
+    whole = settle(whole.select(*rollups.LINE_FIELDS, "resource_id"))  # the other columns would be stored for nothing
     of = F.pmod(number("boq_id"), F.lit(2))
     for writer in range(2):
         rollups.update(whole.where(of == writer), rollup, f"w{writer}")
