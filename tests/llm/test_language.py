@@ -163,6 +163,38 @@ def test_limits_come_from_texts_that_were_not_counted(spark, monkeypatch):
     assert (find(model, only | left) >= 0).all() and (model.heat, model.least_score) == (measured[0].heat, measured[0].least_score)
 
 
+def test_every_learnt_text_sets_heat_and_limits(spark):
+    rng = random.Random(9)
+    word = lambda lang: "".join(rng.choices(LETTERS[lang], weights=range(8, 0, -1), k=rng.randint(2, 8)))
+    rows = [(" ".join(word(rng.choice([lang, "en"])) for _ in range(rng.choice([1, 2, 4, 20]))), lang) for lang in ["en", "de", "fr"] * 90]
+    rows += rows[:40] + [("12 34", "en"), ("", "de")]  # copies count once, texts without a letter not at all
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("fold", F.floor(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20) * 10))
+    model, dealt = learn(docs, "text", "lang", F.lit(True)), docs.collect()
+    own, score, right, gaps, truths = [], [], [], [], []
+    for fold in range(10):
+        counts = Counter((r["lang"], g) for r in dealt if r["fold"] != fold for g in grams(r["text"]))
+        packed = lambda g: int.from_bytes(b"".join(ord(c).to_bytes(2) for c in g), signed=True)
+        apart = fit(pd.DataFrame([(lang, packed(g), n) for (lang, g), n in counts.items()], columns=["lang", "gram", "n"]))
+        mine = sorted({(r["text"], r["lang"]) for r in dealt if r["fold"] == fold and any(c.isalpha() for c in r["text"])})
+        entropies, sizes, _ = apart.entropies([t for t, _ in mine])
+        truth = np.array([apart.langs.index(x) for _, x in mine])
+        gaps.append((entropies - entropies.min(axis=1, keepdims=True)) * (sizes / (1 + sizes / language.LENGTH))[:, None])
+        truths.append(truth)
+        own += [(x, e[k]) for (_, x), e, k in zip(mine, entropies, truth) if e.argmin() == k]
+        right.append(entropies.argmin(axis=1) == truth)
+    gaps, truths, right = np.concatenate(gaps), np.concatenate(truths), np.concatenate(right)
+    assert len(gaps) > 200 and not right.all()
+    likelihood = [(-h * gaps[np.arange(len(gaps)), truths] - np.log(np.exp(-h * gaps).sum(axis=1))).sum() for h in language.HEATS]
+    assert model.heat == language.HEATS[int(np.argmax(likelihood))]
+    score = 1 / np.exp(-model.heat * gaps).sum(axis=1)
+    enough = [x for x in set(score) if right[score >= x].mean() >= language.WANTED]
+    assert math.isclose(model.least_score, min(enough, default=1.0), rel_tol=1e-9)
+    for lang, limit in zip(model.langs, model.most_entropy):
+        x = np.array([e for name, e in own if name == lang])
+        spread = np.median(np.abs(x - np.median(x)))
+        assert math.isclose(limit, np.median(x) + 10 * max(1.4826 * spread, 0.05), rel_tol=1e-9)
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert learn(docs, "text", "lang", F.lit(True)) is None
